@@ -50,7 +50,7 @@ def words_of(text: Column) -> Column:
 
 
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, out: str) -> DataFrame:
-    """0-based rank of each row within ``keys`` without ever sorting one key in one task.
+    """0-based rank of each row within ``keys`` (never null) without ever sorting one key in one task.
 
     Rows are dealt by (keys, salt); the rank inside a salt comes from a window and the start of
     each salt from a running sum over at most ``salts`` counts per key. ``df`` must give the same
@@ -60,13 +60,13 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     counts = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) - 1)
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_salt") == F.col("_s")]
+    within = salted.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) - 1)
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_salt") == F.col("_s")]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
     joined = within.join(starts, cond, "left")
-    return joined.withColumn(out, F.col("_start") + F.col("_rank")).drop("_salt", "_rank", "_start", "_s", *[f"_k_{k}" for k in keys])
+    return joined.withColumn(out, F.col("_start") + F.col("_within")).drop("_salt", "_within", "_start", "_s", *[f"_k_{k}" for k in keys])
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
