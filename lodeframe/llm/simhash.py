@@ -64,12 +64,12 @@ def block_keys(fp: Column) -> Column:
     return F.array(*[F.lit(k << 22) + F.shiftleft(part[i], 11) + part[j] for k, (i, j) in enumerate(combinations(range(6), 2))])
 
 
-def tile_links(fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius; where sides differ at all, only pairs of different sides."""
+def tile_links(fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, tile pair by tile pair; where sides differ at all, only pairs of different sides."""
     count = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(count, kind="stable")
     fp, count, side = fp[order], count[order], side[order]
-    cross, found = len(np.unique(side)) > 1, []
+    cross = len(np.unique(side)) > 1
     for a in range(0, len(fp), tile):
         x = slice(a, a + tile)
         for b in range(a, len(fp), tile):
@@ -82,12 +82,23 @@ def tile_links(fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, tile: int
             if cross:
                 near &= side[x][:, None] != side[y][None, :]
             i, j = np.nonzero(near)
-            found.append((order[i + a], order[j + b]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            yield order[i + a], order[j + b]
 
 
-def block_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal keys: short runs diagonal by diagonal over all of them, long ones by tiles."""
+def tile_labels(fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
+    """For each row the smallest row reachable over links; each tile pair's links are merged before the next is compared."""
+    label = np.arange(len(fp))
+    for i, j in tile_links(fp, side, radius, tile):
+        a, b = label[i], label[j]
+        new = a != b
+        if new.any():
+            a, b = np.unique(np.stack([a[new], b[new]]), axis=1)
+            label = min_labels(len(fp), a, b)[label]
+    return label
+
+
+def block_labels(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, small: int = 24) -> np.ndarray:
+    """For each row the smallest row reachable inside its run of equal keys: short runs diagonal by diagonal over all of them, long ones by tiles."""
     start, length = runs(key)
     size, at = np.repeat(length, length), np.arange(len(key)) - np.repeat(start, length)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -98,23 +109,20 @@ def block_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int =
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
         left.append(i)
         right.append(i + d)
+    label = min_labels(len(key), np.concatenate(left), np.concatenate(right))
     for s, n in zip(start[length > small], length[length > small]):
-        i, j = tile_links(fp[s : s + n], side[s : s + n], radius)
-        left.append(i + s)
-        right.append(j + s)
-    return np.concatenate(left), np.concatenate(right)
+        label[s : s + n] = s + tile_labels(fp[s : s + n], side[s : s + n], radius)
+    return label
 
 
 def _forest(radius: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "g"):
             g, fp, rep, side = (t.column(c).to_numpy() for c in ("g", "fp", "rep", "_side"))
-            i, j = block_links(g, fp.view(np.uint64), side, radius)
-            if len(i):
-                nodes, flat = np.unique(np.concatenate([rep[i], rep[j]]), return_inverse=True)
-                label = min_labels(len(nodes), flat[: len(i)], flat[len(i) :])
-                hung = np.flatnonzero(label != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[label[hung]])], names=["a", "b"])
+            label = block_labels(g, fp.view(np.uint64), side, radius)
+            hung = np.flatnonzero(label != np.arange(len(label)))
+            if len(hung):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[label[hung]])], names=["a", "b"])
 
     return work
 
