@@ -1,19 +1,47 @@
-"""Corpus pipeline: quality rules, near-dedup, secret scans, source mixing and packing over `documents`."""
+"""Corpus pipeline over `documents`: quality rules, near-dedup, secret scans, source mixing, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and is written and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm.common import materialize
+from lodeframe.llm.mixing import mix
+from lodeframe.llm.packing import pack
+from lodeframe.llm.quality import keep_good
+from lodeframe.llm.secrets import redact
+from lodeframe.llm.simhash import keep_one
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from lodeframe.llm.simhash import keep_one
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive rules reject go."""
+    return keep_good(docs)
+
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
     return keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking secrets are replaced in the texts; all documents stay."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources meet their target weights: a document is left out, taken once or taken twice."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and place."""
+    return pack(docs, with_ids=False)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+#: SimHash, knapsack and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -24,6 +24,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import surrogate_report
+
+    return surrogate_report(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -36,6 +42,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import page_report
 
@@ -67,8 +79,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq": op1_itq,
     "op2_quality": op2_quality,
+    "op3_surrogates": op3_surrogates,
     "op4_best_fit": op4_best_fit,
     "op5_secrets": op5_secrets,
+    "op6_brown": op6_brown,
     "op7_warc": op7_warc,
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
