@@ -9,6 +9,8 @@ every piece finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -98,45 +100,46 @@ def best_fit_decreasing(counts: dict[int, int], limit: int = LIMIT) -> dict[int,
     return plan
 
 
-#: Worker-local tokenizers by path, with their memory of pre-tokens.
+#: Worker-local tokenizers by path, with their memory of pre-tokens: at most so many, a few hundred MB.
 _LOADED: dict[str, tuple] = {}
-_REMEMBER = 400_000
+_REMEMBER = 1_000_000
+#: Texts encoded at a time.
+_CHUNK = 256
+#: The byte-level pre-tokenizer's pattern, with its letter and number classes written out for Latin-1.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
+_PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xff]*"
 
 
 def _encoder(path: str):
-    """Ids of a text, by the tokenizer of ``path``; ids of pre-tokens seen before are remembered, up to a bound.
+    """Ids of texts, by the tokenizer of ``path``; ids of pre-tokens seen before are remembered, up to a bound.
 
-    The byte-level tokenizer cuts a text into pre-tokens and encodes each alone. Texts of printable Latin-1, on whose classes all
-    Unicode versions agree, are cut here and only pre-tokens not yet seen are passed to the tokenizer; other texts go to it whole.
+    The byte-level tokenizer cuts a text into pre-tokens and encodes each alone. Texts of printable Latin-1 are cut here,
+    and only pre-tokens not yet seen are passed to the tokenizer, all of a chunk at once; other texts go to it whole.
     """
     if path not in _LOADED:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        cut = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
-        plain = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
-        _LOADED[path] = tokenizer, cut, plain, {}
+        _LOADED[path] = tokenizer, re.compile(_CUT).findall, re.compile(_PLAIN).fullmatch, {}
     tokenizer, cut, plain, seen = _LOADED[path]
 
-    def ids(text: str) -> np.ndarray:
-        if not plain(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = cut(text)
-        new = [w for w in set(words) if w not in seen]
+    def chunk(texts: list[str]) -> list[np.ndarray]:
+        words = [cut(t) if plain(t) else None for t in texts]
+        if len(seen) > _REMEMBER:
+            seen.clear()
+        new = list({w for ws in words if ws for w in ws if w not in seen})
         if new:
-            if len(seen) > _REMEMBER:
-                seen.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                seen[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
+            e = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids, starts = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1)).tolist()
+            body = ids.tobytes()
+            seen.update((w, body[4 * x : 4 * y]) for w, x, y in zip(new, starts, starts[1:]))
+        known = seen.__getitem__
+        return [np.frombuffer(b"".join(map(known, ws)), "<u4") if ws is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t, ws in zip(texts, words)]
 
-    return ids
+    return chunk
 
 
 def default_tokenizer() -> str:
@@ -156,20 +159,22 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
         encode = _encoder(tokenizer or default_tokenizer())
         for b in batches:
             row, piece, start, length, crc, body = [], [], [], [], [], []
-            for r, text in enumerate(b.column("text")):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
-                first = len(ids) % limit or limit
-                at = 0
-                while at < len(ids):
-                    to = at + (first if at == 0 else limit)
-                    row.append(r)
-                    piece.append(0 if at == 0 else (at - first) // limit + 1)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(ids[at:to].tobytes()))
-                    if with_ids:
-                        body.append(ids[at:to].astype(np.int32))
-                    at = to
+            for at_row in range(0, b.num_rows, _CHUNK):
+                texts = [t or "" for t in b.column("text").slice(at_row, _CHUNK).to_pylist()]
+                for r, ids in enumerate(encode(texts), at_row):
+                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                    first = len(ids) % limit or limit
+                    at = 0
+                    while at < len(ids):
+                        to = at + (first if at == 0 else limit)
+                        row.append(r)
+                        piece.append(0 if at == 0 else (at - first) // limit + 1)
+                        start.append(at)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(ids[at:to].tobytes()))
+                        if with_ids:
+                            body.append(ids[at:to].astype(np.int32))
+                        at = to
             out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(out + [pa.array(body, pa.list_(pa.int32()))] * with_ids, names=names)
 
