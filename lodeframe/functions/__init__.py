@@ -1,0 +1 @@
+"""Scalar and type semantics."""

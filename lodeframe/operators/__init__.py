@@ -1,0 +1 @@
+"""DataFrame-level operators."""

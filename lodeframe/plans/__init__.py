@@ -1,0 +1 @@
+"""Query plans: text to syntax tree to DataFrame."""

@@ -1,0 +1 @@
+"""Tables: the catalog and versioned Parquet snapshots."""

@@ -1,0 +1 @@
+"""Results that are pulled row by row."""
