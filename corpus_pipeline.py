@@ -1,52 +1,56 @@
 """Corpus pipeline over `documents`: quality rules, near-dedup, secret scans, source mixing, best-fit packing.
 
-Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and is written and read again.
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and is written and read again. As a stage begins,
+the results of those before it have been written, so their intermediate tables are deleted.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm.common import materialize
+from lodeframe.llm.common import materialize, release, tagged
 from lodeframe.llm.mixing import mix
 from lodeframe.llm.packing import pack
 from lodeframe.llm.quality import keep_good
 from lodeframe.llm.secrets import redact
 from lodeframe.llm.simhash import keep_one
 
+TAG = "pipeline"
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive rules reject go."""
-    return keep_good(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_one(docs)
-
-
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are replaced in the texts; all documents stay."""
-    return redact(docs)
 
+def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, TAG, docs)
+        with tagged(TAG):
+            return work(docs)
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights: a document is left out, taken once or taken twice."""
-    return mix(docs)
+    return stage
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequence and place."""
+def _pack(docs: DataFrame) -> DataFrame:
     return pack(docs, with_ids=False)
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("quality", _stage(keep_good)),  # documents that the adaptive rules reject go
+    ("near_dedup", _stage(keep_one)),  # one document of each group of near copies stays
+    ("secrets", _stage(redact)),  # live-looking secrets are replaced in the texts; all documents stay
+    ("mixing", _stage(mix)),  # a document is left out, taken once or taken twice, as its source's target asks
+    ("packing", _stage(_pack)),  # pieces of at most 1024 tokens with their sequence and place
+]
 #: SimHash, knapsack and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), uuid.uuid4().hex
+    for k, (name, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        with tagged(f"{own}-{k % 2}"):
+            docs = materialize(done, name)
+        release(spark, f"{own}-{(k + 1) % 2}")
+    release(spark, TAG)
     return docs

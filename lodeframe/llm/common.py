@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+#: Tables in the shared folder that can be dropped before the session ends, by tag.
+_TAGGED: dict[str, list[str]] = {}
+_TAG: list[str] = []
+
+
+@contextmanager
+def tagged(tag: str) -> Iterator[None]:
+    """Tables materialized inside belong to ``tag``."""
+    _TAG.append(tag)
+    try:
+        yield
+    finally:
+        _TAG.pop()
+
+
+def release(spark: SparkSession, tag: str, *needed: DataFrame) -> None:
+    """Delete the tables of ``tag``, but for those that ``needed`` still reads."""
+    if not _TAGGED.get(tag):
+        return
+    read = [f for df in needed for f in df.inputFiles()]
+    kept = []
+    for path in _TAGGED[tag]:
+        if any(path.rpartition("/")[2] in f for f in read):
+            kept.append(path)
+            continue
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _TAGGED[tag] = kept
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage so that later jobs neither recompute nor depend on one executor's disk. The table
-    goes when the driver's JVM ends.
+    goes when its tag is released, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeframe-{name}-{uuid.uuid4().hex}"
@@ -41,9 +72,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _TAG:
+        _TAGGED.setdefault(_TAG[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all but the ``needed`` columns under names that clash with nothing, and what gives back the old columns."""
+    needed = [c for c in needed if c in docs.columns]
+    extra = {c: f"__x{k}" for k, c in enumerate(docs.columns) if c not in needed}
+    inside = docs.select(*needed, *[F.col(f"`{c}`").alias(x) for c, x in extra.items()])
+    return inside, lambda out, *more: out.select(*[F.col(extra[c]).alias(c) if c in extra else F.col(c) for c in docs.columns], *more)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, salted_rank
+from .common import WORD, materialize, salted_rank, shielded
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -143,6 +143,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix has them: a row for each copy taken, none where none is."""
-    cols = docs.columns
+    docs, restored = shielded(docs, ["doc_id", "text", "source"])
     out = mixed(materialize(with_sizes(docs), "sized"))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    return restored(out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, shielded, words_of
 
 #: Measures judged from above, in thousandths; each with the slack below which its cut-off never falls.
 #: Clean prose stays well under the slack, so an all-clean source loses nothing.
@@ -150,6 +150,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    cols = docs.columns
-    measured = materialize(with_measures(docs), "measured")
-    return judged(measured).where("_kept").select(*cols)
+    docs, restored = shielded(docs, ["doc_id", "text", "lang", "source"])
+    return restored(judged(materialize(with_measures(docs), "measured")).where("_kept"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shielded
 
 #: Kinds in listed order: pattern, group that holds the value, least length of the value. Java syntax; in (?i) only ASCII folds.
 PATTERNS = {
@@ -102,6 +102,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every live-looking value replaced by `[SECRET]` and n_chars set to the new length; examples stay."""
+    docs, restored = shielded(docs, ["doc_id", "text", "source", "n_chars"])
     cols = docs.columns
     found = scan(docs, cols, name="__c")
     live = F.filter("__c_added", lambda c: c["kind"] == "live")
@@ -116,4 +117,4 @@ def redact(docs: DataFrame) -> DataFrame:
     new = F.aggregate(F.sort_array(live), zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     hit = F.size(live) > 0
     out = found.withColumn("__new", F.when(hit, new).otherwise(text))
-    return out.select(*[F.col("__new").alias(c) if c == "text" else F.when(hit, F.length("__new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in cols])
+    return restored(out.select(*[F.col("__new").alias(c) if c == "text" else F.when(hit, F.length("__new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in cols]))

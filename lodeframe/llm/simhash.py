@@ -16,10 +16,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, min_labels, runs, split_hot, whole_groups
+from .common import materialize, min_labels, runs, shielded, split_hot, whole_groups
 from .components import connected_components
 
 SHINGLE = 4
@@ -161,10 +161,12 @@ def components_of(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id.
 
-    Rows without an id stay; of repeated rows of one id one stays.
+    Rows without an id stay; of the rows of one id one stays, chosen by a hash of the text. Texts don't pass through
+    Python a second time: ids of groups are joined back to the documents.
     """
-    cols = docs.columns
-    marked = materialize(add_fingerprints(docs, cols, out="__fp"), "marked")
-    roots = components_of(marked.select("doc_id", F.col("__fp").alias("fp")), radius).select(F.col("fp").alias("__root_fp"), F.col("component_id").alias("__root"))
-    kept = marked.where("doc_id is not null").join(roots, (F.col("__fp") == F.col("__root_fp")) & (F.col("doc_id") == F.col("__root")), "left_semi")
-    return kept.dropDuplicates(["__fp", "doc_id"]).select(*cols).unionByName(marked.where("doc_id is null").select(*cols))
+    docs, restored = shielded(docs, ["doc_id", "text"])
+    fps = materialize(add_fingerprints(docs, ["doc_id"]), "fingerprints")
+    roots = components_of(fps, radius).select(F.col("component_id").alias("__root")).distinct()
+    kept = docs.where("doc_id is not null").join(roots, F.col("doc_id") == F.col("__root"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return restored(kept.withColumn("__n", first).where("__n = 1").drop("__n").unionByName(docs.where("doc_id is null")))
