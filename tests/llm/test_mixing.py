@@ -1,0 +1,89 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from lodeframe.llm import mixing
+
+from .data import DOCS, corpus, frame, words
+
+
+def reshared(sizes, share=1.5, most=2.0):
+    """Targets by sharing the excess again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), share * sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total >= most * sizes[s]]
+        if not full:
+            return target | {s: left * weight[s] / total for s in open_}
+        for s in full:
+            target[s] = most * sizes[s]
+        left -= sum(target[s] for s in full)
+        open_ -= set(full)
+    return target
+
+
+def test_report(spark):
+    rows = corpus(150)
+    df = frame(spark, rows)
+    got = mixing.mix_report(df).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(words(r[1]))
+    want = reshared(sizes)
+    by_id = {r[0]: r for r in rows}
+    taken = {}
+    for r in got:
+        source = by_id[r.doc_id][3]
+        assert r["size"] == len(words(by_id[r.doc_id][1])) and r.source_size == sizes[source] and r.target == pytest.approx(want[source])
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        taken[source] = taken.get(source, 0) + r.taken
+    assert len(got) == len(rows)
+    assert all(abs(taken[s] - want[s]) <= max(1, 0.02 * want[s]) for s in sizes if s != "hot")
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(df.repartition(7)).collect()))
+
+
+def test_mix_rows(spark):
+    rows = corpus(150)
+    df = frame(spark, rows)
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    count = {}
+    for r in out.collect():
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    taken = {}
+    for r in mixing.mix_report(df).collect():
+        if r["size"]:
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken // r["size"]
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in count.items() if k in taken and taken[k]}
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_subset_sum(seed):
+    """The dynamic programme against all choices."""
+    rng = random.Random(seed)
+    lengths = np.array(sorted(rng.sample(range(1, 30), 4), reverse=True))
+    counts, budget = np.array([rng.randint(0, 3) for _ in lengths]), rng.randint(0, 90)
+    take = mixing.subset_sum(lengths, counts, budget)
+    best = max(s for c in itertools.product(*(range(n + 1) for n in counts)) if (s := int((lengths * c).sum())) <= budget)
+    assert (take <= counts).all() and int((lengths * take).sum()) == best
+
+
+@pytest.mark.parametrize("target", [0.0, 1.0, 12345.6, 90_000.0, 400_000.0, 800_000.0])
+def test_fit_source(target):
+    rng = np.random.default_rng(4)
+    lengths, counts = np.unique(rng.integers(1, 3000, 300), return_counts=True)
+    total = int((lengths * counts).sum())
+    copies, extra = mixing.fit_source(lengths, counts, min(target, 2.0 * total), window=2048)
+    got = copies * total + int((extra * lengths).sum())
+    assert (0 <= extra).all() and (extra <= counts).all() and abs(got - min(target, 2.0 * total)) <= 1.0
+
+
+def test_edges(spark):
+    assert mixing.mix_report(spark.createDataFrame([], DOCS)).count() == 0
+    blank = spark.createDataFrame([(1, None, None, None, None), (2, " ", None, "a", 1)], DOCS)
+    assert sorted((r.doc_id, r["size"], r.target, r.taken) for r in mixing.mix_report(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+    assert mixing.mix(blank).count() == 0
