@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError, ConstraintError
 from ..functions import scalar as S
-from ..functions.types import NUMERIC, SPARK
-from ..plans.builder import Builder, Scope
+from ..functions.types import NUMERIC
+from ..plans.builder import Builder, Relation, Scope
 from ..plans.parser import parse_expression
-from .catalog import Catalog, Table
+from .catalog import FILE, Catalog, Table
 
 
 def fitting(x: S.Typed, kind: str) -> Column:
@@ -25,11 +27,9 @@ def fitting(x: S.Typed, kind: str) -> Column:
     raise AnalysisError(f"a {of} value doesn't fit a {kind} column")
 
 
-def check(builder: Builder, table: Table, df: DataFrame, given: dict[str, Column] | None = None) -> None:
-    """Raise for rows that violate NOT NULL, a text length in bytes, or a CHECK (only FALSE violates).
-
-    ``given`` has what was asked for before conversion, to tell bad timestamps from NULLs. One pass finds whichever is first.
-    """
+def check(builder: Builder, table: Table, df: DataFrame) -> None:
+    """Raise for rows that violate NOT NULL, a text length in bytes, or a CHECK (only FALSE violates); one pass finds the first."""
+    builder = Builder(builder.spark, builder.table, strict=False)  # a CHECK may be a number, true unless 0
     rel = builder.relation(df, table.name, df.columns, [c["kind"] for c in table.columns])
     scope, bad = Scope(rel.fields), []
     for f, c in zip(rel.fields, table.columns):
@@ -109,44 +109,58 @@ def insert(catalog: Catalog, builder: Builder, table: Table, columns, rows) -> i
     return len(keep)
 
 
+def _touched(catalog: Catalog, builder: Builder, table: Table, where) -> tuple[int, set]:
+    """Number of rows that a condition hits, and the files (part, name) that hold them."""
+    rel, hit = _scanned(builder, table, catalog.read(table, with_file=True), where)
+    file = F.col(f"`{rel.fields[-1].inner}`")
+    found = rel.df.where(hit).groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sum(r["n"] for r in found), {(f"{table_dir}/{part}", name) for table_dir, part, name in (r["file"].rsplit("/", 3)[1:] for r in found)}
+
+
+def _scanned(builder: Builder, table: Table, df: DataFrame, where) -> tuple[Relation, Column]:
+    """A table's rows in scope, and the condition that a row is hit: never NULL."""
+    kinds = [c["kind"] for c in table.columns] + ["VARCHAR"] * (FILE in df.columns)
+    rel = builder.relation(df, table.name, df.columns, kinds)
+    if where is None:
+        return rel, F.lit(True)
+    return rel, F.coalesce(builder.condition(where, Scope(rel.fields), "WHERE"), F.lit(False))
+
+
 def update(catalog: Catalog, builder: Builder, table: Table, sets, where) -> int:
-    """Rewrite the snapshot; every right side sees the old row. Rows whose new unique key is another row's are left as they were."""
-    current = catalog.read(table)
-    rel = builder.relation(current, table.name, current.columns, [c["kind"] for c in table.columns])
-    scope = Scope(rel.fields)
-    hit = builder.condition(where, scope, "WHERE") if where is not None else F.lit(True)
-    new = {}
-    for name, expr in sets:
-        c = table.column(name)
-        typed = builder.expr(expr, scope)
-        new[name] = fitting(typed, c["kind"])
-    rows = rel.df.select(F.coalesce(hit, F.lit(False)).alias("_hit"), *[F.col(f"`{f.inner}`").alias(f"old#{f.name}") for f in rel.fields], *[new.get(f.name, F.col(f"`{f.inner}`")).alias(f"new#{f.name}") for f in rel.fields])
-    new_of = lambda df: df.select(*[F.col(f"`new#{f.name}`").alias(f.name) for f in rel.fields])
-    check(builder, table, new_of(rows.where("_hit")))
+    """Rewrite the files that hold hit rows; every right side sees the old row.
+
+    Rows whose new unique key is another row's are left as they were.
+    """
+    for name, _ in sets:
+        table.column(name)
+    n, files = _touched(catalog, builder, table, where)
+    rel, hit = _scanned(builder, table, catalog.read(table, only=files), where)
+    old = {f.name: F.col(f"`{f.inner}`") for f in rel.fields}
+    new = {name: fitting(builder.expr(expr, Scope(rel.fields)), table.column(name)["kind"]) for name, expr in sets}
+    if not n:
+        return 0
+    rows = rel.df.select(hit.alias("_hit"), *[c.alias(f"old#{k}") for k, c in old.items()], *[new.get(k, c).alias(f"new#{k}") for k, c in old.items()])
+    check(builder, table, rows.where("_hit").select(*[F.col(f"`new#{k}`").alias(k) for k in old]))
     keys = [k for k in table.unique_keys() if set(k) & set(new)]
     if keys:
-        rows = catalog.spark.read.parquet(_staged(catalog, table, rows.withColumn("_id", F.monotonically_increasing_id())))
+        # row numbers must not change between reads, so the rows are written; VACUUM takes the folder
+        path = f"{catalog.root}/{table.name}/{uuid.uuid4().hex}"
+        rows.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+        rows, rest = catalog.spark.read.parquet(path), catalog.read(table, but=files)
         for key in keys:
-            rows = _unconflicted(rows, key, rel)
-    final = rows.select(*[F.when(F.col("_hit"), F.col(f"`new#{f.name}`")).otherwise(F.col(f"`old#{f.name}`")).alias(f.name) for f in rel.fields])
-    n = rows.where("_hit").count()
+            rows = _unconflicted(rows, rest, key)
+        n = rows.where("_hit").count()
     if n:
-        table.meta["parts"] = [catalog.write(table, final)]
+        final = rows.select(*[F.when(F.col("_hit"), F.col(f"`new#{k}`")).otherwise(F.col(f"`old#{k}`")).alias(k) for k in old])
+        part = catalog.write(table, final)
+        catalog.remove(table, files)
+        table.meta["parts"].append(part)
         table.meta["version"] += 1
     return n
 
 
-def _staged(catalog: Catalog, table: Table, df: DataFrame) -> str:
-    """Row numbers must not change between reads, so the rows are written; VACUUM takes the folder."""
-    import uuid
-
-    path = f"{catalog.root}/{table.name}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
-def _unconflicted(rows: DataFrame, key: list[str], rel) -> DataFrame:
-    """Clear ``_hit`` where the new key is an unchanged or old key of another row, or an earlier changed row's new key."""
+def _unconflicted(rows: DataFrame, rest: DataFrame, key: list[str]) -> DataFrame:
+    """Clear ``_hit`` where the new key is the key of another row, or an earlier changed row's new key."""
     old = [F.col(f"`old#{k}`") for k in key]
     new = [F.col(f"`new#{k}`") for k in key]
     same = F.lit(True)
@@ -154,6 +168,7 @@ def _unconflicted(rows: DataFrame, key: list[str], rel) -> DataFrame:
         same = same & a.eqNullSafe(b)
     moved = F.col("_hit") & ~same
     held = rows.select(*[c.alias(f"held{i}") for i, c in enumerate(old)], F.col("_id").alias("_other"))
+    held = held.unionByName(rest.select(*[F.col(f"`{k}`").alias(f"held{i}") for i, k in enumerate(key)], F.lit(-1).cast("long").alias("_other")))
     cond = F.col("_id") != F.col("_other")
     for i, c in enumerate(new):
         cond = cond & (c == F.col(f"held{i}"))
@@ -168,17 +183,16 @@ def _unconflicted(rows: DataFrame, key: list[str], rel) -> DataFrame:
 
 
 def delete(catalog: Catalog, builder: Builder, table: Table, where) -> int:
-    current = catalog.read(table)
-    rel = builder.relation(current, table.name, current.columns, [c["kind"] for c in table.columns])
-    hit = F.coalesce(builder.condition(where, Scope(rel.fields), "WHERE"), F.lit(False)) if where is not None else F.lit(True)
-    n = rel.df.where(hit).count()
+    """Rewrite the files that hold hit rows without them; without a condition all files go."""
+    n, files = _touched(catalog, builder, table, where)
     if n:
-        left = rel.df.where(~hit).toDF(*[f.name for f in rel.fields])
-        table.meta["parts"] = [] if where is None else [catalog.write(table, left)]
+        if where is None:
+            table.meta["parts"] = []
+        else:
+            rel, hit = _scanned(builder, table, catalog.read(table, only=files), where)
+            part = catalog.write(table, rel.df.where(~hit).toDF(*[f.name for f in rel.fields]))
+            catalog.remove(table, files)
+            table.meta["parts"].append(part)
         table.meta["version"] += 1
         table.meta["rows"] = max(0, table.meta["rows"] - n)
     return n
-
-
-def schema_of(table: Table) -> str:
-    return ", ".join(f"{c['name']} {SPARK[c['kind']].simpleString()}" for c in table.columns)

@@ -109,6 +109,11 @@ def test_constraints(engine):
         s.sql("UPDATE c SET age = -5")
     with pytest.raises(AnalysisError):
         s.sql("INSERT INTO c (id) VALUES (1, 2)")
+    s.script("CREATE TABLE n (x INT CHECK (x - 3)); INSERT INTO n VALUES (1), (NULL)")
+    with pytest.raises(ConstraintError):
+        s.sql("INSERT INTO n VALUES (3)")
+    with pytest.raises(ConstraintError):
+        s.sql("UPDATE n SET x = 3")
     s.script("CREATE TABLE d (x INT); INSERT INTO d VALUES (1), (1)")
     with pytest.raises(ConstraintError):
         s.sql("CREATE UNIQUE INDEX dx ON d (x)")
@@ -182,3 +187,19 @@ def test_many_parts(engine):
     s = engine.session()
     s.script("CREATE TABLE p (a INT); INSERT INTO p VALUES (1); INSERT INTO p VALUES (2); ALTER TABLE p ADD b INT DEFAULT 9; INSERT INTO p VALUES (3, 3); INSERT INTO p (a) VALUES (4); INSERT INTO p VALUES (5, NULL)")
     assert got(engine, "SELECT a, b FROM p ORDER BY a") == [(1, 9), (2, 9), (3, 3), (4, 9), (5, None)]
+
+
+def test_only_touched_files_are_rewritten(engine):
+    """UPDATE and DELETE leave files without hits alone; VACUUM takes files that no version uses."""
+    s = engine.session()
+    s.script("CREATE TABLE f (id INT PRIMARY KEY, v INT); INSERT INTO f VALUES (1, 1), (2, 2); INSERT INTO f VALUES (3, 3); INSERT INTO f VALUES (4, 4)")
+    s.sql("UPDATE f SET v = v * 10 WHERE id = 3")
+    parts = engine.catalog.load()["tables"]["f"]["parts"]
+    assert [bool(p["removed"]) for p in parts] == [False, True, False, False]
+    s.sql("DELETE FROM f WHERE id IN (2, 4)")
+    s.sql("UPDATE f SET id = id + 1 WHERE id = 1")
+    assert got(engine, "SELECT * FROM f ORDER BY id") == [(2, 1), (3, 30)]
+    assert got(engine, "UPDATE f SET id = 3 WHERE id = 2") == [(0,)]
+    assert got(engine, "VACUUM")[0][0] >= 4
+    assert got(engine, "SELECT * FROM f ORDER BY id") == [(2, 1), (3, 30)]
+    assert got(engine, "DELETE FROM f") == [(2,)] and got(engine, "SELECT COUNT(*) FROM f") == [(0,)]
