@@ -63,6 +63,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("bytes").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words and their counts, at most ``most`` (HEAD), by falling count.
+
+    A histogram over a few hundred bands of counts tells the least count for which all its words still fit, so no task
+    gathers more than the words returned.
+    """
+    most = HEAD if most is None else most
+    bands = counts.groupBy(F.floor(F.log2("n") * 8).alias("band")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    least, total = None, 0
+    for band in sorted(bands, key=lambda r: -r["band"]):
+        total += band["words"]
+        if total > most:
+            break
+        least = band["least"]
+    found = counts.where(F.col("n") >= (least if least is not None else 2**62)).toArrow()
+    pairs = sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64)
+
+
 def _unit_ids(words: list[bytes], unit: dict[bytes, int]) -> list[int]:
     return [u if (u := unit.get(w)) is not None else 1 + TOP + shape(w) for w in words]
 
@@ -196,8 +215,7 @@ def score(docs: DataFrame) -> DataFrame:
     ends = train.count()
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, types = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    head = counts.orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
-    words, n_head = head.column("word").to_pylist(), head.column("n").to_numpy()
+    words, n_head = frequent_words(counts)
 
     def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skip = set(top)
