@@ -97,26 +97,35 @@ def format_chats(turns: DataFrame) -> DataFrame:
             ids = t.column("conv_id").combine_chunks().take(pa.array(start))
             return pa.RecordBatch.from_arrays([ids, formatted.cast(pa.string()), spans], names=["conv_id", "formatted", "loss_spans"])
 
-        held = None
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([b])])
-            start = _starts(held)
-            if len(start) > 1:
-                yield emit(held.slice(0, start[-1]), start[:-1])
-                held = held.slice(start[-1])
-        if held is not None:
-            yield emit(held, _starts(held))
+            new = [0] if held and not _same(held[-1].column("conv_id"), b.column("conv_id")) else []
+            cuts = [*new, *_starts(b.column("conv_id"))[1:].tolist()]
+            if cuts:
+                if held or cuts[-1]:
+                    done = pa.Table.from_batches([*held, b.slice(0, cuts[-1])])
+                    yield emit(done, _starts(done.column("conv_id").combine_chunks()))
+                held = [b.slice(cuts[-1])]
+            else:
+                held.append(b)
+        if held:
+            done = pa.Table.from_batches(held)
+            yield emit(done, _starts(done.column("conv_id").combine_chunks()))
 
     return rows.mapInArrow(work, f"conv_id {kind}, formatted string, loss_spans array<array<long>>")
 
 
-def _starts(t: pa.Table) -> np.ndarray:
-    """First rows of the runs of equal conv_id; null equals null."""
-    ids = t.column("conv_id").combine_chunks()
+def _same(before: pa.Array, after: pa.Array) -> bool:
+    """Whether the last value of one array is the first of the next; null equals null."""
+    return before[len(before) - 1].as_py() == after[0].as_py()
+
+
+def _starts(ids: pa.Array) -> np.ndarray:
+    """First rows of the runs of equal values; null equals null."""
     a, b = ids.slice(1), ids.slice(0, len(ids) - 1)
-    same = pc.or_kleene(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
     return np.concatenate([[0], np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1])
 
 
