@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shielded
 
 TITLES = {"f": "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Signora|Госпожа", "m": "Mr|Herr|Señor|Monsieur|Signor|Господин"}
 #: Given names by script and gender: found when a capitalised surname follows, and drawn from for surrogates.
@@ -36,7 +36,8 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
+    # 9 digits at least, and no date
+    "phone": r"(?<![\w+])(?!\d{4}-\d{2}-\d{2}(?!\d))(?=(?:[ ().+-]{0,3}\d){9})(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
     "person": rf"(?<!\p{{L}})(?:(?:{TITLES['f']}|{TITLES['m']})\.?\x20(?:{_NAME}\x20)?{_NAME}|(?:{_LISTED})\x20{_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -148,13 +149,14 @@ def _fill(raw: Column, kind: Column, new: Column) -> Column:
     return F.when(kind.isin("email", "ip"), new).when(kind == "person", titled).otherwise(laid)
 
 
-def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with surrogates in the text and an added array column ``_e`` of the entities found.
+def surrogates(docs: DataFrame, key: str = KEY, entities_as: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in `text` and, if named, an added array column of the entities found.
 
     Null and empty texts stay. Every row and column stays; repeated rows get equal texts. Only rows with entities move;
     copies share one lookup row, keyed by a hash of their entities.
     """
-    cols = docs.columns
+    docs, restored = shielded(docs, ["text"])
+    cols, text = docs.columns, "text"
     marked = materialize(docs.withColumn("_e", F.coalesce(entities(F.col(text)), F.array().cast("array<struct<raw:string,kind:string,canon:string>>"))), "marked")
     keyed = marked.where(F.size("_e") > 0).withColumn("_key", F.xxhash64(F.transform("_e", lambda e: e["canon"])))
     each = materialize(keyed.select("_key", F.explode(F.array_distinct(F.transform("_e", lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon"))))).alias("x")).select("_key", "x.*").distinct(), "mentions")
@@ -164,11 +166,14 @@ def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
     new = F.transform("_e", lambda e: _fill(e["raw"], e["kind"], F.element_at("_map", F.concat_ws(":", e["kind"], e["canon"]))))
     done = F.concat_ws("", F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), new, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
     fixed = hit.select(*[done.alias(text) if c == text else F.col(c) for c in cols], "_e")
-    return fixed.unionByName(marked.where(F.size("_e") == 0).select(*cols, "_e"))
+    out = fixed.unionByName(marked.where(F.size("_e") == 0).select(*cols, "_e"))
+    if entities_as is None:
+        return restored(out)
+    return restored(out, F.col("_e").alias(entities_as))
 
 
 def surrogate_report(docs: DataFrame) -> DataFrame:
     """doc_id, the text with surrogates, and the number of mentions of each kind. Other columns are not read."""
-    out = surrogates(docs.select("doc_id", "text"))
+    out = surrogates(docs.select("doc_id", "text"), entities_as="_e")
     n = lambda k: F.size(F.filter("_e", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", F.size("_e").cast("long").alias("n_entities"), *[n(k) for k in PATTERNS])
