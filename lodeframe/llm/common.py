@@ -90,13 +90,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, out: str) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, out: str, per_salt: int = 1_000_000) -> DataFrame:
     """0-based rank of each row within ``keys`` (never null) without ever sorting one key in one task.
 
     Rows are dealt by (keys, salt); the rank inside a salt comes from a window and the start of
-    each salt from a running sum over at most ``salts`` counts per key. ``df`` must give the same
-    rows when read twice (a table, not a random expression).
+    each salt from a running sum over the counts of a key's salts. There are 16 salts, or as many as leave ``per_salt``
+    rows to each if one key had them all. ``df`` must give the same rows when read twice (a table, not a random expression).
     """
+    salts = max(16, -(-df.count() // per_salt))
     salted = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,7 +21,6 @@ SHARE = 1.5
 MOST = 2
 #: Words of each source's budget that are left to the dynamic programme.
 WINDOW = 16384
-SALTS = 64
 
 
 def targets(sizes: DataFrame, weights: Iterable[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -125,7 +124,7 @@ def mixed(sized: DataFrame, weights: Iterable[float] = WEIGHTS, share: float = S
 
     plan = materialize(known.groupBy("_key").applyInPandas(fit, "_key string, _size long, _source_size long, _target double, _whole long, _extra long"), "plan")
     tie = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    ranked = salted_rank(sized, ["_key", "_size"], [tie, F.col("doc_id")], tie, SALTS, "_rank")
+    ranked = salted_rank(sized, ["_key", "_size"], [tie, F.col("doc_id")], tie, "_rank")
     out = ranked.join(plan, ["_key", "_size"], "left")
     return out.withColumn("_copies", F.col("_whole") + (F.col("_rank") < F.col("_extra")).cast("long")).drop("_key", "_whole", "_extra", "_rank")
 

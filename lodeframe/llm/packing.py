@@ -24,7 +24,6 @@ from .common import materialize, salted_rank
 
 LIMIT = 1024
 END = 2
-SALTS = 64
 
 
 class CapacityTree:
@@ -197,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end:
     big = np.int64(1) << 50
     keys = steps[:, 0] * big + steps[:, 1]
     tie = F.xxhash64("doc_id", "piece", "ids_crc32")
-    ranked = salted_rank(pieces, ["length"], [tie, F.col("doc_id"), F.col("piece")], tie, SALTS, "_rank")
+    ranked = salted_rank(pieces, ["length"], [tie, F.col("doc_id"), F.col("piece")], tie, "_rank")
     names = [*pieces.columns, "sequence_id", "offset"]
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
