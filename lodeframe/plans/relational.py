@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,20 @@ from .builder import Builder
 from .parser import parse
 
 
+#: Tables opened so far by session: their schema and files are looked up once. The folders' tables don't change.
+_OPEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    opened, path = _OPEN.setdefault(spark, {}), f"{sf_dir}/{name}.parquet"
+    if path not in opened:
+        opened[path] = spark.read.parquet(path)
+    return opened[path]
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A dialect query over the Parquet tables of a folder."""
-    return Builder(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")).run(parse(sql))
+    return Builder(spark, lambda name: table(spark, sf_dir, name)).run(parse(sql))
 
 
 #: name: (dialect, DuckDB or None where the text is the same)
@@ -94,8 +106,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "sort_nulls_explicit": (
         "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality ASC NULLS FIRST, d.doc_id DESC NULLS LAST LIMIT 50", None),
     "sort_positional": ("SELECT o_orderstatus, o_orderkey FROM orders ORDER BY 1, 2 DESC LIMIT 30", None),
-    "sort_expression": ("SELECT o_orderkey FROM orders ORDER BY o_custkey % 10 DESC, o_orderkey LIMIT 30", None),
-    "sort_alias": ("SELECT o_orderkey AS k, o_custkey % 7 AS m FROM orders ORDER BY m, k LIMIT 30", None),
+    "sort_expression": ("SELECT o_orderkey FROM orders ORDER BY o_custkey % CAST(10 AS BIGINT) DESC, o_orderkey LIMIT 30", None),
+    "sort_alias": ("SELECT o_orderkey AS k, o_custkey % CAST(7 AS BIGINT) AS m FROM orders ORDER BY m, k LIMIT 30", None),
     "sort_aggregate": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, o_custkey LIMIT 15", None),
     "topn": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 10"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 11", None),
@@ -118,10 +130,11 @@ SQL: dict[str, tuple[str, str | None]] = {
     "in_subquery_and": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_acctbal > 5000", None),
     "not_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", None),
     "not_in_subquery_null": ("SELECT COUNT(*) AS n FROM nation WHERE n_regionkey NOT IN (SELECT l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)", None),
-    "int_division": ("SELECT o_orderkey, o_orderkey / 7 AS q, (0 - o_orderkey) / 7 AS m, o_orderkey / (o_custkey % 3) AS z FROM orders WHERE o_orderkey < 400",
+    "int_division": ("SELECT o_orderkey, o_orderkey / 7 AS q, (0 - o_orderkey) / 7 AS m, o_orderkey / (o_custkey % CAST(3 AS BIGINT)) AS z FROM orders WHERE o_orderkey < 400",
         "SELECT o_orderkey, o_orderkey // 7 AS q, -(o_orderkey // 7) AS m, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderkey // (o_custkey % 3) END AS z FROM orders WHERE o_orderkey < 400"),
     "modulo": ("SELECT n_nationkey, n_nationkey % 4 AS a, (0 - n_nationkey) % 4 AS b, n_nationkey % n_regionkey AS c FROM nation",
         "SELECT n_nationkey, n_nationkey % 4 AS a, (0 - n_nationkey) % 4 AS b, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey % n_regionkey END AS c FROM nation"),
+    "modulo_mixed": ("SELECT o_orderkey, o_orderkey % 3 AS a, 7.5 % 2 AS b FROM orders WHERE o_orderkey < 10", "SELECT o_orderkey, CAST(NULL AS BIGINT) AS a, CAST(NULL AS DOUBLE) AS b FROM orders WHERE o_orderkey < 10"),
     "overflow_null": ("SELECT r_regionkey, r_regionkey + 2147483646 AS a, r_regionkey * 2000000000 AS b, 9223372036854775806 + r_regionkey AS c FROM region",
         "SELECT r_regionkey, CASE WHEN CAST(r_regionkey AS BIGINT) + 2147483646 <= 2147483647 THEN CAST(CAST(r_regionkey AS BIGINT) + 2147483646 AS INTEGER) END AS a, CASE WHEN CAST(r_regionkey AS BIGINT) * 2000000000 <= 2147483647 THEN CAST(CAST(r_regionkey AS BIGINT) * 2000000000 AS INTEGER) END AS b, CASE WHEN r_regionkey <= 1 THEN CAST(9223372036854775806 + r_regionkey AS BIGINT) END AS c FROM region"),
     "unary_minus": ("SELECT n_nationkey, -n_nationkey AS a, -(-2147483648) AS b, -(n_nationkey * 0.5) AS c FROM nation",
@@ -165,22 +178,22 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- the DataFrame operators called directly
 def semi_join(spark: SparkSession, d: str) -> DataFrame:
-    c, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
     return joins.semi(c, o, c.c_custkey == o.o_custkey).select("c_custkey", "c_name")
 
 
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    c, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
     return joins.anti(c, o, c.c_custkey == o.o_custkey).select("c_custkey", "c_name")
 
 
 def hinted_join(spark: SparkSession, d: str) -> DataFrame:
-    o, c = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
     return joins.count(o, c.hint("shuffle_hash"), o.o_custkey == c.c_custkey)
 
 
 def paged_sort(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")
+    p = table(spark, d, "part").select("p_partkey", "p_size")
     return ordering.page(p.orderBy(ordering.sort_key(F.col("p_size"), True), ordering.sort_key(F.col("p_partkey"))), 12, 3)
 
 
