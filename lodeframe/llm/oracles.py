@@ -103,4 +103,18 @@ FROM t GROUP BY conv_id
 """
 
 
-ORACLE_SQL = {"op1_itq": OP1, "op2_quality": _op2(), "op5_secrets": _op5(), "op8_chat": _op8()}
+def _op7() -> str:
+    """Base32 from the hex digest: 40 nibbles as bits, read off in fives."""
+    value = " + ".join(f"{1 << (4 - k)} * substr(b, 5 * i + {k + 1}, 1)::INT" for k in range(5))
+    nibbles = "".join(f"{n:04b}" for n in range(16))
+    return f"""
+WITH d AS (SELECT page_id, strlen(COALESCE(html, '')) AS n, sha1(COALESCE(html, '')) AS x FROM pages),
+f AS (SELECT *, MIN(page_id) OVER (PARTITION BY x) AS first,
+  list_aggregate(list_transform(range(1, 41), lambda i: substr('{nibbles}', 4 * strpos('0123456789abcdef', substr(x, i, 1)) - 3, 4)), 'string_agg', '') AS b FROM d)
+SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {value}, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
+ORACLE_SQL = {"op1_itq": OP1, "op2_quality": _op2(), "op5_secrets": _op5(), "op7_warc": _op7(), "op8_chat": _op8()}

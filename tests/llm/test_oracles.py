@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in "documents embeddings conversations".split():
+    for t in "documents embeddings pages conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want, got = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, DATA)
     assert sorted(want.columns) == sorted(got.columns)
