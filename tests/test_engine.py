@@ -203,3 +203,35 @@ def test_only_touched_files_are_rewritten(engine):
     assert got(engine, "VACUUM")[0][0] >= 4
     assert got(engine, "SELECT * FROM f ORDER BY id") == [(2, 1), (3, 30)]
     assert got(engine, "DELETE FROM f") == [(2,)] and got(engine, "SELECT COUNT(*) FROM f") == [(0,)]
+
+
+def test_vacuum_spares_open_transactions(engine):
+    a = engine.session()
+    a.script("CREATE TABLE v (x INT); INSERT INTO v VALUES (1); BEGIN; INSERT INTO v VALUES (2); DELETE FROM v WHERE x = 1")
+    engine.sql("VACUUM")
+    assert [r[0] for r in a.sql("SELECT x FROM v").collect()] == [2]
+    a.sql("COMMIT")
+    assert got(engine, "SELECT x FROM v") == [(2,)]
+    a.script("BEGIN; INSERT INTO v VALUES (3)")
+    engine.catalog.vacuum()  # as another process would
+    with pytest.raises(SerializationError):
+        a.sql("COMMIT")
+    assert got(engine, "SELECT x FROM v") == [(2,)]
+
+
+def test_parts_are_sorted_by_index(engine):
+    s = engine.session()
+    s.script("CREATE TABLE z (a INT, b INT); CREATE INDEX zb ON z (b, a); INSERT INTO z VALUES (1, 9), (2, 3), (3, 5), (1, 3)")
+    part = engine.catalog.load()["tables"]["z"]["parts"][0]["path"]
+    assert [tuple(r) for r in engine.spark.read.parquet(f"{engine.catalog.root}/{part}").collect()] == [(1, 3), (2, 3), (3, 5), (1, 9)]
+
+
+def test_repl(spark, monkeypatch, capsys):
+    import io
+
+    from lodeframe.__main__ import main
+
+    monkeypatch.setattr("sys.stdin", io.StringIO("SELECT 1 AS a,\n'x;y' AS b; SELECT 2 AS c;\nSELECT nope;\nexit\nSELECT 3 AS d;\n"))
+    assert main([]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[:4] == ["a|b", "1|x;y", "c", "2"] and out[4].startswith("ERROR: column 'nope' not found") and len(out) == 5
