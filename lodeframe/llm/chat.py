@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of this and common other templates. A text's `<` or `[`, any backslashes, and the rest of one get one backslash more.

@@ -25,7 +25,7 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_i
 """
 
 
-def _pick(measure: str, bound: str) -> str:
+def _pick(bound: str) -> str:
     return f"CASE WHEN s.docs >= {LEAST} THEN s.{bound} WHEN l.docs >= {LEAST} THEN l.{bound} ELSE a.{bound} END"
 
 
@@ -42,7 +42,7 @@ def _op2() -> str:
     rates = {"symbol_rate": "n_symbols * 1000", "dup_line_rate": "n_dup_lines * 100000", "repeat_rate": "n_repeat_words * 1000", "word_length": "word_chars * 1000"}
     long = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {x} // GREATEST(n_words, 1) AS v FROM base WHERE NOT base_failed" for m, x in rates.items())
     over = " OR ".join(
-        [f"(g.measure = '{m}' AND g.v > GREATEST({v}, {_pick(m, 'top')}))" for m, v in UPPER.items()] + [f"(g.measure = '{m}' AND g.v < LEAST({v}, {_pick(m, 'bottom')}))" for m, v in LOWER.items()])
+        [f"(g.measure = '{m}' AND g.v > GREATEST({v}, {_pick('top')}))" for m, v in UPPER.items()] + [f"(g.measure = '{m}' AND g.v < LEAST({v}, {_pick('bottom')}))" for m, v in LOWER.items()])
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM t),

@@ -21,13 +21,13 @@ def test_round_trip(spark):
     got = packing.pack(frame(spark, rows)).collect()
     want = sorted((str(i), tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, *_ in rows)
     pieces = sorted(got, key=lambda r: (str(r.doc_id), r.piece))
-    docs, now = [], []
+    docs = []
     for r in pieces:
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length <= 1024
     for doc in sorted({str(r.doc_id) for r in pieces}):
         own = [r for r in pieces if str(r.doc_id) == doc]
         copies = sum(r.piece == 0 for r in own)
-        now = [r for r in own if True][::copies]
+        now = own[::copies]
         assert [r.start for r in now] == list(np.cumsum([0, *[r.length for r in now]])[:-1])
         docs += [(doc, tuple(x for r in now for x in r.ids))] * copies
     assert sorted(docs) == want
