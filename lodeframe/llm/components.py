@@ -24,10 +24,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = (seen["n"], seen["h"])
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # the minima are a table of their own: a join of two plain exchanges can be split where a hub is
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
