@@ -81,9 +81,11 @@ def _one_of(words: list[str], k: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), k + 1)
 
 
-def _surname(script: str, h: Column) -> Column:
-    body = F.concat(*[_one_of(SYLLABLES[script], _pick(h, i, len(SYLLABLES[script]))) for i in range(3)], _one_of(ENDINGS[script], _pick(h, 3, len(ENDINGS[script]))))
-    return F.initcap(body)
+def _surname(script: str, h: Column, more: Column) -> Column:
+    """A surname of three syllables, ``more`` further ones and an ending."""
+    syllable = lambda i: _one_of(SYLLABLES[script], _pick(h, i, len(SYLLABLES[script])))
+    longer = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(4), more + 3), syllable), "")).otherwise(F.lit(""))
+    return F.initcap(F.concat(*[syllable(i) for i in range(3)], longer, _one_of(ENDINGS[script], _pick(h, 3, len(ENDINGS[script])))))
 
 
 def _drawn(h: Column, chars: Column) -> Column:
@@ -108,12 +110,14 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     digits = F.concat(F.substring(canon, F.lit(1), lead), _drawn(h, F.split(F.substring(canon, lead + 1, F.length(canon)), "")))
     name = F.substring_index(canon, ":", -1)
     last, one = F.substring_index(name, " ", -1), F.instr(name, " ") == 0
-    # the surname's own hash: every person of one surname keeps sharing one; after many tries it moves too
-    sh = keyed(F.lit("surname"), last, F.when(attempt > 7, attempt.cast("string")).otherwise(F.lit("")))
+    # the surname's own hash: every person of one surname keeps sharing one. A surname alone moves from its second draw on,
+    # others after many tries; from then on each entity has a surname of its own, a syllable longer in every round
+    moved = F.when(one, attempt).otherwise(F.greatest(attempt - 7, F.lit(0)))
+    sh = F.when(moved > 0, keyed(F.lit("surname"), canon, attempt.cast("string"))).otherwise(keyed(F.lit("surname"), last, F.lit("")))
 
     def person(script: str) -> Column:
         given = F.when(canon.startswith("f:"), _one_of(GIVEN[script]["f"], _pick(h, 9, len(GIVEN[script]["f"])))).otherwise(_one_of(GIVEN[script]["m"], _pick(h, 9, len(GIVEN[script]["m"]))))
-        return F.concat(F.substring(canon, 1, 2), F.when(one, _surname(script, sh)).otherwise(F.concat_ws(" ", given, _surname(script, sh))))
+        return F.concat(F.substring(canon, 1, 2), F.when(one, _surname(script, sh, moved)).otherwise(F.concat_ws(" ", given, _surname(script, sh, moved))))
 
     who = F.when(name.rlike(r"\p{IsCyrillic}"), person("cyrillic")).otherwise(person("latin"))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "person", who).otherwise(digits)

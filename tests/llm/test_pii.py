@@ -60,3 +60,14 @@ def test_collisions_are_drawn_again(spark):
     assert len({r.canon for r in got}) == 26 == len({r.new for r in got}) and not {r.new for r in got} & set(mails)
     first = spark.createDataFrame([("email", m) for m in mails], "kind STRING, canon STRING").select(pii.surrogate(F.col("kind"), F.col("canon"), F.lit(0)).alias("n"))
     assert first.count() == 26
+
+
+def test_many_persons(spark):
+    """More titled surnames than there are short surrogates, and more persons of one surname than given names and rounds."""
+    letters = lambda k: F.concat(*[F.chr(F.pmod(F.floor(F.col("id") / 26**i), F.lit(26)) + 97) for i in range(k)])
+    titled = spark.range(70_000).select(F.lit("person").alias("kind"), F.concat(F.lit("m:X"), letters(4)).alias("canon"))
+    same = spark.range(600).select(F.lit("person"), F.concat(F.lit("f:Y"), letters(3), F.lit(" Smith")))
+    cyrillic = spark.range(300).select(F.lit("person"), F.concat(F.lit("f:"), F.chr(F.pmod("id", F.lit(30)) + 0x410), F.lit("о"), F.chr(F.floor(F.col("id") / 30) + 0x430)))
+    got = pii.assign(titled.unionAll(same).unionAll(cyrillic)).select("canon", "new").collect()
+    assert len(got) == 70_900 == len({r.canon for r in got}) == len({r.new for r in got}) and not {r.canon for r in got} & {r.new for r in got}
+    assert all(r.new[:2] == r.canon[:2] and (" " in r.new) == (" " in r.canon) and bool(re.search("[а-я]", r.new)) == bool(re.search("[а-яо]", r.canon)) for r in got)
