@@ -104,48 +104,86 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     return Record(at, headers, payload, _page(headers.get("warc-record-id")), _page(headers.get("warc-refers-to"))), stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at``, checked by its CRC and length, and the offset after it."""
-    unpack = zlib.decompressobj(31)
-    out = bytearray()
-    # input in slices: decompressobj keeps a copy of the rest of what it is given
-    place = at
-    try:
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, the offset reached, and what is wrong with it: then the content ends there."""
+
+    def unpacked(step: int, upto: int | None = None) -> tuple[bytearray, int, str | None]:
+        unpack, out, place = zlib.decompressobj(31), bytearray(), at
         while not unpack.eof:
-            part = data[place : place + 262144]
+            # input in slices: decompressobj keeps a copy of the rest of what it is given
+            size = 262144 if upto is not None and place < upto else step
+            part = data[place : place + size]
             if not part:
-                raise BadRecord("member is cut short")
-            out += unpack.decompress(part)
+                return out, place, "member is cut short"
+            try:
+                out += unpack.decompress(part)
+            except zlib.error as e:
+                return out, place, f"gzip: {e}"
             place += len(part)
-    except zlib.error as e:
-        raise BadRecord(f"gzip: {e}") from e
-    return bytes(out), place - len(unpack.unused_data)
+        return out, place - len(unpack.unused_data), None
+
+    out, place, wrong = unpacked(262144)
+    if wrong and wrong.startswith("gzip"):
+        # a failing call gives nothing back: its slice is read again by bytes
+        out, place, wrong = unpacked(1, place)
+    return bytes(out), place, wrong
+
+
+def _inside(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """Records and gaps of a member's content; after a bad record it goes on at the next version line."""
+    records, gaps, at, bad = [], [], 0, None
+    while at < len(data):
+        try:
+            record, after = parse_record(data, at)
+        except BadRecord as e:
+            bad = bad or (at, str(e))
+            at = ahead if (ahead := data.find(b"WARC/1.", at + 1)) >= 0 else len(data)
+            continue
+        if bad:
+            gaps.append((bad[0], at, bad[1]))
+            bad = None
+        records.append(record)
+        at = after
+    if bad:
+        gaps.append((bad[0], len(data), bad[1]))
+    return records, gaps
 
 
 def salvage(data: bytes) -> Salvage:
-    """All records of an archive, plain or gzip by member; damaged stretches are skipped and logged."""
+    """All records of an archive, plain or gzip by member or by stream; damaged stretches are skipped and logged.
+
+    A bad record costs its member no other one: its gap is the member's, with the place inside in the reason. Of a member
+    that fails its own check, the records before the damage are kept where there are several; one alone falls with it.
+    """
     found, at, bad = Salvage(), 0, None
     while at < len(data):
+        gaps, wrong, versions = [], None, at + 1
         try:
             if data.startswith(MAGIC, at):
-                inside, after = _member(data, at)
-                records, place = [], 0
-                while place < len(inside):
-                    record, place = parse_record(inside, place)
-                    record.offset = at
-                    records.append(record)
+                inside, after, wrong = _member(data, at)
+                records, gaps = _inside(inside)
+                for r in records:
+                    r.offset = at
+                if wrong:
+                    if len(records) + len(gaps) < 2:
+                        records = []
+                    found.records += records
+                    # stored blocks hold plain version lines: what was read isn't searched for them again
+                    versions = after if records else versions
+                    raise BadRecord(wrong)
             else:
                 record, after = parse_record(data, at)
                 records = [record]
         except BadRecord as e:
             bad = bad or (at, str(e))
-            ahead = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
+            ahead = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", versions)) if x >= 0]
             at = min(ahead, default=len(data))
             continue
         if bad:
             found.gaps.append((bad[0], at, bad[1]))
             bad = None
         found.records += records
+        found.gaps += [(at, after, f"{why}, bytes {x} to {y} of the member") for x, y, why in gaps]
         at = after
     if bad:
         found.gaps.append((bad[0], len(data), bad[1]))

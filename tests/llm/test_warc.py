@@ -81,3 +81,28 @@ def test_gaps_in_table(spark, records):
 
 def test_empty(spark):
     assert warc.page_report(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_members(records, level):
+    """One bad record, a bad checksum or a cut costs a member of several records no others."""
+    import zlib
+
+    def member(body):
+        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return packer.compress(body) + packer.flush()
+
+    texts = [plain(r) for r in records]
+    digest, length, header = texts[2].replace(b"payload 2 payload", b"payload 9 payload", 1), texts[3].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1), texts[4].replace(b"WARC-Type:", b"WARC-Type")
+    for k, hurt in ((2, digest), (3, length), (4, header)):
+        first = member(b"".join([*texts[:k], hurt, *texts[k + 1 :]]))
+        got = warc.salvage(first + records[0])
+        assert [r.page_id for r in got.records] == [*(i for i in range(6) if i != k), 0]
+        assert [g[:2] for g in got.gaps] == [(0, len(first))] and f"bytes {sum(map(len, texts[:k]))} to" in got.gaps[0][2]
+    stream = member(b"".join(texts))
+    wrong = stream[:-8] + bytes(x ^ 255 for x in stream[-8:-4]) + stream[-4:]
+    got = warc.salvage(wrong + records[0])
+    assert [r.page_id for r in got.records] == [*range(6), 0] and [g[:2] for g in got.gaps] == [(0, len(wrong))]
+    cut = member(b"".join(texts) + bytes(range(256)) * 40)[:-200]
+    got = warc.salvage(cut)
+    assert [r.page_id for r in got.records] == list(range(6)) and [g[:2] for g in got.gaps] == [(0, len(cut))]
