@@ -30,16 +30,12 @@ def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, Da
     return stage
 
 
-def _pack(docs: DataFrame) -> DataFrame:
-    return pack(docs, with_ids=False)
-
-
 STAGES = [
     ("quality", _stage(keep_good)),  # documents that the adaptive rules reject go
     ("near_dedup", _stage(keep_one)),  # one document of each group of near copies stays
     ("secrets", _stage(redact)),  # live-looking secrets are replaced in the texts; all documents stay
     ("mixing", _stage(mix)),  # a document is left out, taken once or taken twice, as its source's target asks
-    ("packing", _stage(_pack)),  # pieces of at most 1024 tokens with their sequence and place
+    ("packing", _stage(pack)),  # pieces of at most 1024 tokens, with their ids, sequence and place
 ]
 #: SimHash, knapsack and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -162,6 +162,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
                 texts = [t or "" for t in b.column("text").slice(at_row, _CHUNK).to_pylist()]
                 for r, ids in enumerate(encode(texts), at_row):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
+                    if with_ids:
+                        body.append(ids)
                     first = len(ids) % limit or limit
                     at = 0
                     while at < len(ids):
@@ -171,11 +173,12 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
                         start.append(at)
                         length.append(to - at)
                         crc.append(zlib.crc32(ids[at:to].tobytes()))
-                        if with_ids:
-                            body.append(ids[at:to].astype(np.int32))
                         at = to
             out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(body, pa.list_(pa.int32()))] * with_ids, names=names)
+            if with_ids:  # pieces lie end to end
+                values = np.concatenate([np.zeros(0, "<u4"), *body]).view(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(values)))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     fields = [docs.schema["doc_id"], StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))]
     fields += [StructField("ids", ArrayType(IntegerType()))] * with_ids

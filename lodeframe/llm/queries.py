@@ -35,7 +35,7 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,10 @@
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
+from lodeframe.llm import packing
+from lodeframe.llm.common import materialize
 from lodeframe.llm.mixing import mix_report
 from lodeframe.llm.queries import QUERIES
 
@@ -30,3 +36,24 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_sequences_can_be_built(spark, tmp_path):
+    """The pipeline returns the tokens: crc, length and the gapless sequences are those of the ids it gives."""
+    frame(spark, corpus(60), clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    built = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(built.setdefault(r.sequence_id, [])) == r.offset
+        built[r.sequence_id] += r.ids
+    assert all(len(s) <= 1024 for s in built.values())
+
+
+def test_packing_query_moves_the_tokens(spark, tmp_path, monkeypatch):
+    """op4 projects the digests from the operator's full output."""
+    frame(spark, corpus(10), clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    monkeypatch.setattr(packing, "materialize", lambda df, name: made.append(df.columns) or materialize(df, name))
+    out = QUERIES["op4_best_fit"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and "ids" in made[0]
