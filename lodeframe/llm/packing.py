@@ -99,7 +99,7 @@ def best_fit_decreasing(counts: dict[int, int], limit: int = LIMIT) -> dict[int,
     return plan
 
 
-#: Worker-local tokenizers by path, with their memory of pre-tokens: at most so many, a few hundred MB.
+#: Worker-local tokenizers by path and mode, with their memory of pre-tokens: at most so many, a few hundred MB.
 _LOADED: dict[str, tuple] = {}
 _REMEMBER = 1_000_000
 #: Texts encoded at a time.
@@ -110,23 +110,25 @@ _CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{
 _PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xff]*"
 
 
-def _encoder(path: str):
+def _encoder(path: str, as_text: bool = True):
     """Ids of texts, by the tokenizer of ``path``; ids of pre-tokens seen before are remembered, up to a bound.
 
     The byte-level tokenizer cuts a text into pre-tokens and encodes each alone. Texts of printable Latin-1 are cut here,
-    and only pre-tokens not yet seen are passed to the tokenizer, all of a chunk at once; other texts go to it whole.
+    and only pre-tokens not yet seen are passed to the tokenizer, all of a chunk at once; other texts, and those that hold an added token, go to it whole. ``as_text`` has special tokens
+    encoded as the text they are written in, and not as their own id.
     """
-    if path not in _LOADED:
+    if (path, as_text) not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _LOADED[path] = tokenizer, re.compile(_CUT).findall, re.compile(_PLAIN).fullmatch, {}
-    tokenizer, cut, plain, seen = _LOADED[path]
+        tokenizer.encode_special_tokens = as_text
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (as_text and t.special)]
+        _LOADED[path, as_text] = tokenizer, added, re.compile(_CUT).findall, re.compile(_PLAIN).fullmatch, {}
+    tokenizer, added, cut, plain, seen = _LOADED[path, as_text]
 
     def chunk(texts: list[str]) -> list[np.ndarray]:
-        words = [cut(t) if plain(t) else None for t in texts]
+        words = [cut(t) if plain(t) and not any(a in t for a in added) else None for t in texts]
         if len(seen) > _REMEMBER:
             seen.clear()
         new = list({w for ws in words if ws for w in ws if w not in seen})
@@ -155,7 +157,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     """
     # the path is looked up by each worker where none is given: installations may differ
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer or default_tokenizer())
+        encode = _encoder(tokenizer or default_tokenizer(), as_text=False)
         for b in batches:
             row, piece, start, length, crc, body = [], [], [], [], [], []
             for at_row in range(0, b.num_rows, _CHUNK):

@@ -88,3 +88,10 @@ def test_memory_of_pre_tokens(monkeypatch):
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
     assert os.path.basename(packing.default_tokenizer()) == "byte_bpe_50k.json"
+
+
+def test_special_tokens(spark):
+    """A special token in a text has the id that the tokenizer gives by default, and its neighbours theirs."""
+    t, texts = tokenizer(), ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> é", "漢 <|endoftext|>", "<|endoftext |> plain"]
+    got = {r.doc_id: r.ids for r in packing.token_pieces(spark.createDataFrame([(k, x, "en", "s", 1) for k, x in enumerate(texts)], DOCS)).collect()}
+    assert got == {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in enumerate(texts)} and got[0] == [64, 220, 50256, 275, 2]
