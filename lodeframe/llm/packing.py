@@ -9,6 +9,7 @@ every piece finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -99,48 +100,58 @@ def best_fit_decreasing(counts: dict[int, int], limit: int = LIMIT) -> dict[int,
     return plan
 
 
-#: Worker-local tokenizers by path and mode, with their memory of pre-tokens: at most so many, a few hundred MB.
-_LOADED: dict[str, tuple] = {}
-_REMEMBER = 1_000_000
+#: Worker-local tokenizers by path and mode.
+_LOADED: dict[tuple[str, bool], tuple] = {}
 #: Texts encoded at a time.
 _CHUNK = 256
-#: The byte-level pre-tokenizer's pattern, with its letter and number classes written out for Latin-1.
-_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-_CUT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
-_PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xff]*"
+#: Texts of printable Latin-1, for which all libraries agree on letters, numbers and spaces.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*").fullmatch
+#: The byte-level pre-tokenizer's pattern; fixed values.
+_CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each id of a byte-level BPE whose ids follow its merges; None for any other tokenizer, which needs its own library."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [vocab.get(x + y) for x, y in merges] != list(range(256, 256 + len(merges))) or {vocab.get(c) for c in byte_of} != set(range(256)):
+        return None
+    out = {bytes([byte_of[c]]): vocab[c] for c in byte_of}
+    return out | {bytes(byte_of[c] for c in x + y): 256 + k for k, (x, y) in enumerate(merges)}
 
 
 def _encoder(path: str, as_text: bool = True):
-    """Ids of texts, by the tokenizer of ``path``; ids of pre-tokens seen before are remembered, up to a bound.
+    """Ids of texts, by the tokenizer of ``path``. ``as_text`` has special tokens encoded as the text they are written in, and not as their own id.
 
-    The byte-level tokenizer cuts a text into pre-tokens and encodes each alone. Texts of printable Latin-1 are cut here,
-    and only pre-tokens not yet seen are passed to the tokenizer, all of a chunk at once; other texts, and those that hold an added token, go to it whole. ``as_text`` has special tokens
-    encoded as the text they are written in, and not as their own id.
+    Where the file is a byte-level BPE, printable Latin-1 texts without added tokens go through the faster of two
+    implementations of the same merges; all others go to the tokenizer's own library whole.
     """
     if (path, as_text) not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = as_text
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (as_text and t.special)]
-        _LOADED[path, as_text] = tokenizer, added, re.compile(_CUT).findall, re.compile(_PLAIN).fullmatch, {}
-    tokenizer, added, cut, plain, seen = _LOADED[path, as_text]
+        with open(path, encoding="utf-8") as f:
+            ranks = _ranks(json.load(f))
+        quick = ranks and tiktoken.Encoding("byte-level", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
+        _LOADED[path, as_text] = tokenizer, added, quick
+    tokenizer, added, quick = _LOADED[path, as_text]
 
-    def chunk(texts: list[str]) -> list[np.ndarray]:
-        words = [cut(t) if plain(t) and not any(a in t for a in added) else None for t in texts]
-        if len(seen) > _REMEMBER:
-            seen.clear()
-        new = list({w for ws in words if ws for w in ws if w not in seen})
-        if new:
-            e = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, starts = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids), np.arange(len(new) + 1)).tolist()
-            body = ids.tobytes()
-            seen.update((w, body[4 * x : 4 * y]) for w, x, y in zip(new, starts, starts[1:]))
-        known = seen.__getitem__
-        return [np.frombuffer(b"".join(map(known, ws)), "<u4") if ws is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for t, ws in zip(texts, words)]
+    def one(text: str) -> np.ndarray:
+        if quick and _PLAIN(text) and not any(a in text for a in added):
+            return quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    return chunk
+    return lambda texts: [one(t) for t in texts]
 
 
 def default_tokenizer() -> str:
@@ -149,8 +160,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every piece of at most ``limit`` tokens.
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and ids of every piece of at most ``limit`` tokens.
 
     Only documents longer than ``limit`` are cut; the first piece takes the odd length. A null text is empty and has
     the one id ``end``.
@@ -159,42 +170,36 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer or default_tokenizer(), as_text=False)
         for b in batches:
-            row, piece, start, length, crc, body = [], [], [], [], [], []
-            for at_row in range(0, b.num_rows, _CHUNK):
-                texts = [t or "" for t in b.column("text").slice(at_row, _CHUNK).to_pylist()]
-                for r, ids in enumerate(encode(texts), at_row):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    if with_ids:
-                        body.append(ids)
-                    first = len(ids) % limit or limit
-                    at = 0
-                    while at < len(ids):
-                        to = at + (first if at == 0 else limit)
-                        row.append(r)
-                        piece.append(0 if at == 0 else (at - first) // limit + 1)
-                        start.append(at)
-                        length.append(to - at)
-                        crc.append(zlib.crc32(ids[at:to].tobytes()))
-                        at = to
-            out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            if with_ids:  # pieces lie end to end
-                values = np.concatenate([np.zeros(0, "<u4"), *body]).view(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(values)))
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    fields = [docs.schema["doc_id"], StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))]
-    fields += [StructField("ids", ArrayType(IntegerType()))] * with_ids
+            for at in range(0, b.num_rows, _CHUNK):
+                texts = b.column("text").slice(at, _CHUNK)
+                found = encode([t or "" for t in texts.to_pylist()])
+                ids = np.concatenate([x for own in found for x in (own, np.array([end], "<u4"))])
+                whole = np.array([len(x) + 1 for x in found])
+                first = (whole - 1) % limit + 1
+                number = (whole - first) // limit + 1
+                row = np.repeat(np.arange(len(whole)), number)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                start = np.where(piece > 0, first[row] + (piece - 1) * limit, 0)
+                length = np.where(piece > 0, limit, first[row])
+                stops = np.cumsum([0, *length])  # pieces lie end to end
+                body = memoryview(ids.tobytes())
+                crc = [zlib.crc32(body[4 * x : 4 * y]) for x, y in zip(stops[:-1].tolist(), stops[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, _CHUNK).take(pa.array(row)), pa.array(piece.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (start, length, crc)), lists], names=names)
+
+    fields = [docs.schema["doc_id"], StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32")), StructField("ids", ArrayType(IntegerType()))]
     names = [f.name for f in fields]
     return docs.select("doc_id", "text").mapInArrow(work, StructType(fields))
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with sequence_id and offset, packed best-fit decreasing.
 
     Sequences hold at most ``limit`` tokens without gaps. Every row of ``docs`` is packed, repeated rows and null ids
     too; other columns are not read. The driver sees the histogram of lengths only, at most ``limit`` rows.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, limit, end, with_ids), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, limit, end), "pieces")
     plan = best_fit_decreasing({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, limit)
     flat = sorted((length, *run) for length, out in plan.items() for run in out)
     steps = np.array(flat, np.int64).reshape(-1, 6)

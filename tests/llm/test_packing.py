@@ -72,17 +72,23 @@ def test_plan_is_best_fit_decreasing(seed):
     assert sorted(limit - sum(n for _, n in p) for p in used.values()) == naive(lengths, limit)
 
 
-def test_memory_of_pre_tokens(monkeypatch):
-    """Remembered pre-tokens give the tokenizer's own ids, also after the memory was cleared and for texts beyond Latin-1."""
-    t = tokenizer()
-    t.encode_special_tokens = True
-    monkeypatch.setattr(packing, "_REMEMBER", 20)
+def test_ids_of_any_text(spark):
+    """Ids equal those of the tokenizer's own library, as it comes, for awkward and random texts of many alphabets."""
     import public_tokenizers
 
-    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["it's  ''s we've 12³ ½x _a_\n\n  b\t\tc ", "".join(map(chr, range(1, 256))), "漢字 kana é", "", "   ", "a <|endoftext|> b", *(x or "" for _, x, *_ in corpus(30))]
-    for _ in range(2):
-        assert [x.tolist() for x in encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    alphabets = ["ab '\ns", "".join(map(chr, range(1, 256))), "é ü\u00a0ñ½²ªµ'sll ve", "漢字かな ", "a1 \t\r\n", "'s'll've 're!?"]
+    texts = ["it's  ''s we've 12³ ½x _a_\n\n  b\t\tc ", "".join(map(chr, range(1, 256))), "漢字 kana é", "", "   ", "a <|endoftext|> b", "x" * 50_000, " " * 999 + "y", "!" * 4_001, *(x or "" for _, x, *_ in corpus(30))]
+    texts += ["".join(rng.choice(a) for _ in range(rng.randint(1, 60))) for a in alphabets for _ in range(300)]
+    plain = tokenizer()
+    assert [x.tolist() for x in packing._encoder(path, as_text=False)(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    plain.encode_special_tokens = True
+    assert [x.tolist() for x in packing._encoder(path)(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_use_their_own_library():
+    spec = {"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    assert packing._ranks(spec) is None and packing._ranks({"model": {"type": "Unigram"}}) is None
 
 
 def test_empty(spark):
