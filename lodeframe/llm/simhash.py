@@ -1,34 +1,36 @@
 """SimHash near-dedup: tiled exact comparison with numpy exclusive-or and bit counts.
 
-Fingerprints that differ in at most ``radius`` bits are linked. Two such fingerprints agree in at least
-two of six bit groups (four differing bits spoil four groups at most), so the fingerprints are dealt into
-blocks by each of the fifteen pairs of groups, and each block is compared exactly, tile against tile. Inside a
-block tiles are ordered by population count and a tile pair is skipped when the counts differ by more than the
-radius. No link is lost, and the work per fingerprint does not grow with the whole corpus but with
-its 2**-21 part.
+Fingerprints that differ in at most ``radius`` bits are linked. Of G bit groups, radius differing bits spoil as many at most, so two such
+fingerprints agree in G - radius groups: they are dealt into blocks by every choice of that many groups. The rows of all blocks of a
+task are ordered by block and population count and compared exactly, tile against tile; a tile pair without a common block, or
+whose counts differ by more than the radius, is skipped. No link is lost. G grows with the number of fingerprints, so that blocks
+stay small: six groups give 15 blocks a row of 2**21 kinds, seven 35 of 2**27, eight 70 of 2**32.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, min_labels, runs, shielded, split_hot, whole_groups
+from .common import materialize, min_labels, shielded, split_hot, whole_groups
 from .components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Widths of the six bit groups, from the low end.
-GROUPS = (11, 11, 11, 11, 10, 10)
-#: Rows of one tile of a hot block; rows of a side of the in-memory comparison.
-BLOCK, TILE = 4096, 512
+#: What it costs to move a row into one more block, in comparisons.
+MOVE = 100
+#: Rows of one part of a hot block; rows of a side of the in-memory comparison.
+BLOCK, TILE = 4096, 256
+#: Links held before they are merged into labels.
+HELD = 1 << 20
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -57,69 +59,76 @@ def add_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out:
     return docs.select(*keep, F.col(text).cast("binary").alias("_bytes")).mapInArrow(work, schema)
 
 
-def block_keys(fp: Column) -> Column:
-    """The fifteen block keys of a fingerprint: pair number, then the bits of the two groups."""
-    starts = np.cumsum((0, *GROUPS))[:-1]
-    part = [F.shiftrightunsigned(fp, int(s)).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, GROUPS)]
-    return F.array(*[F.lit(k << 22) + F.shiftleft(part[i], 11) + part[j] for k, (i, j) in enumerate(combinations(range(6), 2))])
+def group_widths(groups: int) -> list[int]:
+    """Widths of the bit groups, from the low end: as equal as can be."""
+    return [64 * (k + 1) // groups - 64 * k // groups for k in range(groups)]
 
 
-def tile_links(fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, tile pair by tile pair; where sides differ at all, only pairs of different sides."""
+def layout(n: int, radius: int = RADIUS) -> int:
+    """The number of bit groups for which n fingerprints cost least: rows moved, and comparisons inside blocks."""
+    cost = lambda g: math.comb(g, radius) * (MOVE + n / 2 ** sum(sorted(group_widths(g))[: g - radius]))
+    return min(range(radius + 2, radius + 7), key=cost)
+
+
+def block_keys(fp: Column, groups: int, radius: int = RADIUS) -> Column:
+    """The block keys of a fingerprint: the number of a choice of groups, then their bits."""
+    width = group_widths(groups)
+    low = [sum(width[:k]) for k in range(groups)]
+    out = []
+    for k, chosen in enumerate(combinations(range(groups), groups - radius)):
+        key = F.lit(k).cast("long")
+        for g in chosen:
+            key = F.shiftleft(key, width[g]) + F.shiftrightunsigned(fp, low[g]).bitwiseAND(F.lit((1 << width[g]) - 1))
+        out.append(key)
+    return F.array(*out)
+
+
+def tile_links(block: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one block within the radius, tile pair by tile pair; where rows are marked ``cross``, only pairs of different sides."""
     count = np.bitwise_count(fp).astype(np.int64)
-    order = np.argsort(count, kind="stable")
-    fp, count, side = fp[order], count[order], side[order]
-    cross = len(np.unique(side)) > 1
+    order = np.lexsort((count, block))
+    block, fp, count, side, cross = block[order], fp[order], count[order], side[order], cross[order]
     for a in range(0, len(fp), tile):
         x = slice(a, a + tile)
         for b in range(a, len(fp), tile):
             y = slice(b, b + tile)
-            if count[y][0] - count[x][-1] > radius:
-                break  # counts only rise from here
+            # a later tile can share the last block of this one only, and counts only rise within a block
+            if a != b and (block[y][0] != block[x][-1] or count[y][0] - count[x][-1] > radius):
+                break
             near = np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= radius
+            near &= block[x][:, None] == block[y][None, :]
             if a == b:
                 near = np.triu(near, 1)
-            if cross:
-                near &= side[x][:, None] != side[y][None, :]
             i, j = np.nonzero(near)
-            yield order[i + a], order[j + b]
-
-
-def tile_labels(fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
-    """For each row the smallest row reachable over links; each tile pair's links are merged before the next is compared."""
-    label = np.arange(len(fp))
-    for i, j in tile_links(fp, side, radius, tile):
-        a, b = label[i], label[j]
-        new = a != b
-        if new.any():
-            a, b = np.unique(np.stack([a[new], b[new]]), axis=1)
-            label = min_labels(len(fp), a, b)[label]
-    return label
-
-
-def block_labels(key: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int = RADIUS, small: int = 24) -> np.ndarray:
-    """For each row the smallest row reachable inside its run of equal keys: short runs diagonal by diagonal over all of them, long ones by tiles."""
-    start, length = runs(key)
-    size, at = np.repeat(length, length), np.arange(len(key)) - np.repeat(start, length)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, small):
-        i = np.flatnonzero((size <= small) & (at + d < size))
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-        left.append(i)
-        right.append(i + d)
-    label = min_labels(len(key), np.concatenate(left), np.concatenate(right))
-    for s, n in zip(start[length > small], length[length > small]):
-        label[s : s + n] = s + tile_labels(fp[s : s + n], side[s : s + n], radius)
-    return label
+            ok = ~cross[i + a] | (side[i + a] != side[j + b])
+            yield order[i[ok] + a], order[j[ok] + b]
+
+
+def block_labels(block: np.ndarray, fp: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
+    """For each row the smallest row reachable over links; links are merged before too many are held."""
+    label, held, n = np.arange(len(fp)), [], 0
+
+    def merged(label: np.ndarray) -> np.ndarray:
+        if not held:
+            return label
+        a, b = np.unique(np.concatenate(held, axis=1), axis=1)
+        return min_labels(len(fp), a, b)[label]
+
+    for i, j in tile_links(block, fp, side, cross, radius, tile):
+        i, j = label[i], label[j]
+        new = i != j
+        held.append(np.stack([i[new], j[new]]))
+        n += int(new.sum())
+        if n > HELD:
+            label, held, n = merged(label), [], 0
+    return merged(label)
 
 
 def _forest(radius: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "g"):
-            g, fp, rep, side = (t.column(c).to_numpy() for c in ("g", "fp", "rep", "_side"))
-            label = block_labels(g, fp.view(np.uint64), side, radius)
+            g, fp, rep, side, cross = (t.column(c).to_numpy() for c in ("g", "fp", "rep", "_side", "cross"))
+            label = block_labels(g, fp.view(np.uint64), side, cross, radius)
             hung = np.flatnonzero(label != np.arange(len(label)))
             if len(hung):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[label[hung]])], names=["a", "b"])
@@ -128,14 +137,12 @@ def _forest(radius: int):
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A forest (a, b) that links the ``rep`` of distinct fingerprints (fp, rep) within the radius."""
-    if radius > 4:
-        raise ValueError("the six bit groups prove links of at most four bits")
-    cand = distinct.select("fp", "rep", F.explode(block_keys(F.col("fp"))).alias("key"))
-    dealt = split_hot(cand, "key", F.xxhash64("fp"), BLOCK)
-    g = F.shiftleft(F.col("key"), 32) + F.shiftleft(F.col("_p").cast("long"), 16) + F.col("_q")
-    rows = dealt.select(g.alias("g"), "fp", "rep", "_side").repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(_forest(radius), "a long, b long")
+    """A forest (a, b) that links the ``rep`` of distinct fingerprints (fp, rep) within the radius. ``distinct`` is a table, read twice."""
+    keys = block_keys(F.col("fp"), layout(distinct.count(), radius), radius)
+    dealt = split_hot(distinct.select("fp", "rep", F.explode(keys).alias("key")), "key", F.xxhash64("fp"), BLOCK)
+    # two blocks that meet in one hash are compared with each other too, which can find true links only
+    rows = dealt.select(F.xxhash64("key", "_p", "_q").alias("g"), "fp", "rep", "_side", (F.col("_p") != F.col("_q")).alias("cross"))
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_forest(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -165,8 +172,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Python a second time: ids of groups are joined back to the documents.
     """
     docs, restored = shielded(docs, ["doc_id", "text"])
+    cols = docs.columns
     fps = materialize(add_fingerprints(docs, ["doc_id"]), "fingerprints")
     roots = components_of(fps, radius).select(F.col("component_id").alias("__root")).distinct()
-    kept = docs.where("doc_id is not null").join(roots, F.col("doc_id") == F.col("__root"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return restored(kept.withColumn("__n", first).where("__n = 1").drop("__n").unionByName(docs.where("doc_id is null")))
+    kept = docs.join(roots, F.col("doc_id") == F.col("__root"), "left_semi")
+    again = materialize(fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    if not again.isEmpty():
+        # each task brings a repeated id down to one row before it moves
+        first = F.min_by(F.struct(*cols), F.struct(F.xxhash64("text"), F.xxhash64(*cols))).alias("__r")
+        one = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").groupBy("doc_id").agg(first).select("__r.*")
+        kept = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(one)
+    return restored(kept.unionByName(docs.where("doc_id is null")))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodeframe.llm import simhash
 
@@ -49,28 +50,60 @@ def test_empty(spark):
     assert simhash.near_duplicates(frame(spark, odd())).count() == len(odd())
 
 
-@pytest.mark.parametrize("sides", [1, 3])
-def test_tiles(sides):
-    """Tile by tile equals all pairs, with skipped tile pairs, long runs and sides."""
-    rng = np.random.default_rng(sides)
+@pytest.mark.parametrize("seed", range(4))
+def test_tiles(seed):
+    """Tile by tile equals all pairs of a block, with skipped tile pairs, many small and some long blocks, and sides."""
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)
     fp = np.concatenate([base, base ^ np.uint64(7), base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)), rng.integers(0, 2**20, 300, dtype=np.uint64)])
-    side = rng.integers(0, sides, len(fp))
-    got = {tuple(sorted((int(a), int(b)))) for i, j in simhash.tile_links(fp, side, 4, tile=16) for a, b in zip(i, j)}
-    near = np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4, 1)
-    if sides > 1:
-        near &= side[:, None] != side[None, :]
-    assert got == set(zip(*(x.tolist() for x in np.nonzero(near))))
-    key = np.sort(rng.integers(0, 6, len(fp)))
-    label = simhash.block_labels(key, fp, np.zeros(len(fp), int), 4, small=24)
-    full = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4) & (key[:, None] == key[None, :])
+    block = np.sort(rng.choice(np.arange(-60, 60), len(fp), p=np.r_[[0.6 / 2] * 2, [0.4 / 118] * 118]))
+    side, cross = rng.integers(0, 3, len(fp)), np.isin(block, [-60, 5, 7])
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4) & (block[:, None] == block[None, :])
+    near &= ~cross[:, None] | (side[:, None] != side[None, :])
+    np.fill_diagonal(near, False)
+    got = [(int(a), int(b)) for i, j in simhash.tile_links(block, fp, side, cross, 4, tile=16) for a, b in zip(i, j)]
+    assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == set(zip(*(x.tolist() for x in np.nonzero(np.triu(near)))))
     want = np.arange(len(fp))
     while True:
-        new = np.array([want[r].min() for r in full])
+        new = np.array([min(want[r].min(initial=w), w) for r, w in zip(near, want)])
         if (new == want).all():
             break
         want = new
-    assert (label == want).all()
+    assert (simhash.block_labels(block, fp, side, cross, 4, tile=16) == want).all()
+
+
+def test_links_are_merged_when_many_are_held(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 50)
+    fp, z = np.arange(300, dtype=np.uint64), np.zeros(300, int)
+    assert (simhash.block_labels(z, fp, z, z.astype(bool), 1, tile=16) == 0).all()
+
+
+@pytest.mark.parametrize("groups", [6, 7, 8, 9])
+def test_every_layout_meets(spark, groups):
+    """Two fingerprints within four bits share a block key under any number of groups, and most others don't."""
+    rng = np.random.default_rng(groups)
+    rows = []
+    for k in range(200):
+        a = int(rng.integers(0, 2**64, dtype=np.uint64))
+        b = a
+        for bit in rng.choice(64, 4, replace=False):
+            b ^= 1 << int(bit)
+        rows.append(tuple(x - 2**64 if x >= 2**63 else x for x in (a, b)))
+    df = spark.createDataFrame(rows, "a LONG, b LONG")
+    met = df.select(F.arrays_overlap(simhash.block_keys(F.col("a"), groups), simhash.block_keys(F.col("b"), groups)).alias("m")).collect()
+    assert all(r.m for r in met) and sum(simhash.group_widths(groups)) == 64
+
+
+def test_layout_grows():
+    assert [simhash.layout(10**k) for k in (0, 5, 8, 10, 12)] == sorted(simhash.layout(10**k) for k in (0, 5, 8, 10, 12))
+    assert simhash.layout(1000) == 6 and simhash.layout(10**11) > 7
+
+
+def test_hot_id_and_equal_rows(spark):
+    """Of an id that many rows have one stays, whichever texts they have; rows equal in all columns too."""
+    rows = [(7, f"one text {k % 3} of words that differ in most places {k % 3 * 991}", "en", "s", 1) for k in range(60)] + [(8, "another one entirely", "en", "s", 1)] * 3
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [7, 8]
 
 
 def test_hot_block_is_dealt_over_tiles(spark, monkeypatch):
