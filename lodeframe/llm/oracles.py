@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import CONTROL, END, START
 from .quality import LEAST, LOWER, MIN_WORDS, SPREAD, UPPER
-from .secrets import MAX_OWNERS
+from .secrets import MAX_OWNERS, MAX_REPOS, SHINGLE
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,7 +68,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def _op5() -> str:
     kinds = {"assign": (r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12), "access": ("AKIA[A-Z0-9]+", 0, 18), "hex": ("[0-9a-f]+", 0, 16)}
     each = " UNION ALL ".join(
-        f"SELECT rid, source, doc_id, '{k}' AS kind, {rank} AS rank, string_split_regex(text, '{p}') AS parts, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {g}) AS vals, {least} AS least FROM t"
+        f"SELECT rid, source, text, '{k}' AS kind, {rank} AS rank, string_split_regex(text, '{p}') AS parts, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {g}) AS vals, {least} AS least FROM t"
         for rank, (k, (p, g, least)) in enumerate(kinds.items()))
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, COALESCE(text, '') AS text FROM documents),
@@ -76,15 +76,18 @@ lists AS ({each}),
 lengths AS (SELECT *, list_transform(parts, lambda x: length(x)) AS pl, list_transform(hits, lambda x: length(x)) AS hl FROM lists WHERE len(hits) > 0),
 ranked AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM lengths),
 spans AS (
-  SELECT rid, source, doc_id, kind, rank, (list_sum(pl[1:i]) + COALESCE(list_sum(hl[1:i - 1]), 0))::BIGINT AS s, (list_sum(pl[1:i]) + list_sum(hl[1:i]))::BIGINT AS e, vals[i] AS val
+  SELECT rid, source, kind, rank, (list_sum(pl[1:i]) + COALESCE(list_sum(hl[1:i - 1]), 0))::BIGINT AS s, (list_sum(pl[1:i]) + list_sum(hl[1:i]))::BIGINT AS e, vals[i] AS val
   FROM ranked WHERE length(vals[i]) >= least),
-owners AS (SELECT val, COUNT(DISTINCT COALESCE('+' || source, '-')) AS n FROM spans GROUP BY val),
+words AS (SELECT rid, regexp_extract_all(text, '{_WORD}') AS ws FROM t WHERE rid IN (SELECT rid FROM spans)),
+repos AS (SELECT rid, list_min(list_transform(range(1, GREATEST(len(ws) - {SHINGLE}, 0) + 2), lambda i: md5(array_to_string(ws[i:i + {SHINGLE - 1}], ' ')))) AS repo FROM words),
+owners AS (SELECT val, COUNT(DISTINCT COALESCE('+' || source, '-')) AS n, COUNT(DISTINCT repo) AS r FROM spans JOIN repos USING (rid) GROUP BY val),
+judged AS (SELECT *, n > {MAX_OWNERS} AND r > {MAX_REPOS} AS copied FROM spans JOIN owners USING (val)),
 every AS (
-  SELECT rid, s, rank, kind, e FROM spans UNION ALL
-  SELECT DISTINCT rid, e - length(val) AS s, CASE WHEN n > {MAX_OWNERS} THEN 4 ELSE 3 END AS rank, CASE WHEN n > {MAX_OWNERS} THEN 'example' ELSE 'live' END AS kind, e FROM spans JOIN owners USING (val)),
-joined AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base FROM every GROUP BY rid),
+  SELECT rid, s, rank, kind, e, r || '/' || n AS own FROM judged UNION ALL
+  SELECT DISTINCT rid, e - length(val) AS s, CASE WHEN copied THEN 4 ELSE 3 END AS rank, CASE WHEN copied THEN 'example' ELSE 'live' END AS kind, e, '' AS own FROM judged),
+joined AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(own, ',' ORDER BY s, rank) FILTER (rank < 3) AS ownership FROM every GROUP BY rid),
 n AS (SELECT rid, COUNT(*) FILTER (kind = 'assign') AS a, COUNT(*) FILTER (kind = 'access') AS b, COUNT(*) FILTER (kind = 'hex') AS c FROM spans GROUP BY rid)
-SELECT doc_id, COALESCE(a, 0) AS n_assign, COALESCE(b, 0) AS n_access, COALESCE(c, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
+SELECT doc_id, COALESCE(a, 0) AS n_assign, COALESCE(b, 0) AS n_access, COALESCE(c, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(ownership, '') AS ownership
 FROM t LEFT JOIN joined USING (rid) LEFT JOIN n USING (rid)
 """
 

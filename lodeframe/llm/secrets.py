@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency (native DataFrame operations).
 
 Patterns find candidates in every whole text. Each candidate's value is hashed, and the hashes are counted over
-the corpus by distinct repositories and owners: a value that many owners carry is a copied example (`example`
-spans), one that belongs to few looks live (`live` spans).
+the corpus by distinct repositories and owners. A value that many repositories of several owners carry is a copied example
+(`example` spans); one that belongs to few owners, or to few repositories, looks live (`live` spans). Where the documents name no
+repository, copies and near copies of one text count as one, whoever has them: copying a document makes a secret in it no example.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shielded
+from .common import materialize, shielded, words_of
 
 #: Kinds in listed order: pattern, group that holds the value, least length of the value. Java syntax; in (?i) only ASCII folds.
 PATTERNS = {
@@ -21,8 +22,10 @@ PATTERNS = {
 }
 #: Kinds that the method adds, after the base kinds in the order of spans.
 ADDED = ("live", "example")
-#: A value carried by more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value is a copied example when more owners and more repositories than these carry it.
+MAX_OWNERS, MAX_REPOS = 2, 4
+#: Words of the shingles that tell copies of a text.
+SHINGLE = 5
 
 
 def _found(text: Column, kind: str, rank: int) -> Column:
@@ -58,31 +61,51 @@ def value_hash(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
-def ownership(found: DataFrame, owner: str, repo: str, cands: str = "_c") -> DataFrame:
-    """(hash, repos, owners) of every candidate value; equal (hash, owner, repository) rows are merged before they move."""
-    each = found.where(F.size(cands) > 0).select(F.col(owner).alias("owner"), F.col(repo).alias("repo"), F.explode(F.array_distinct(F.transform(cands, lambda c: value_hash(c["value"])))).alias("hash"))
-    pairs = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("rows"))
-    by_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+def repository(text: Column) -> Column:
+    """The least MD5 of the five-word shingles of a text: equal for copies and, nine times out of ten, for copies with a tenth changed."""
+    def least(words: Column) -> Column:
+        n = F.greatest(F.size(words) - SHINGLE, F.lit(0))
+        return F.array_min(F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.md5(F.array_join(F.slice(words, k, SHINGLE), " "))))
 
+    return F.element_at(F.transform(F.array(words_of(text)), least), 1)
 
-def scan(docs: DataFrame, keep: list[str], owner: str = "source", repo: str = "doc_id", text: str = "text", name: str = "_c") -> DataFrame:
-    """The ``keep`` columns with array columns ``name`` (base matches) and ``name``_added (live and example spans).
 
-    Every row stays, with or without matches. Null owners count as one owner, null texts are empty. A document's
-    verdicts are looked up by a hash of its candidate values, so copies share one lookup row and no document
-    moves unless it has candidates.
+def ownership(found: DataFrame, cands: str = "_c") -> DataFrame:
+    """(hash, repos, owners) of every candidate value of rows with `_owner` and `_repo`; equal rows are merged before they move."""
+    each = found.where(F.size(cands) > 0).select("_owner", "_repo", F.explode(F.array_distinct(F.transform(cands, lambda c: value_hash(c["value"])))).alias("hash"))
+    kept = lambda k, c: F.struct(F.lit(k).alias("side"), F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")).alias("value"))
+    sides = each.select("hash", F.explode(F.array(kept("o", "_owner"), kept("r", "_repo"))).alias("x")).select("hash", "x.*").distinct()
+    return sides.groupBy("hash").agg(F.count(F.when(F.col("side") == "r", 1)).alias("repos"), F.count(F.when(F.col("side") == "o", 1)).alias("owners"))
+
+
+def verdict(repos: Column, owners: Column) -> Column:
+    return F.when((owners > MAX_OWNERS) & (repos > MAX_REPOS), F.lit("example")).otherwise(F.lit("live"))
+
+
+def scan(docs: DataFrame, keep: list[str], owner: str = "source", repo: str | None = None, text: str = "text", name: str = "_c") -> DataFrame:
+    """The ``keep`` columns with array columns ``name`` (base matches), ``name``_added (live and example spans) and ``name``_counts (repositories and owners of each base match).
+
+    Every row stays, with or without matches. Null owners count as one owner, null texts are empty. ``repo`` names the column that tells
+    repositories; without it copies of a text are one. A document's verdicts are looked up by a hash of its candidate values, so copies share
+    one lookup row and no document moves unless it has candidates.
     """
-    marked = materialize(docs.select(*keep, candidates(F.col(text)).alias(name)), "scanned")
-    keyed = marked.withColumn("_key", F.xxhash64(F.transform(name, lambda c: c["value"])))
-    freq = ownership(marked, owner, repo, name)
-    values = keyed.where(F.size(name) > 0).select("_key", F.explode(F.array_distinct(F.transform(name, lambda c: value_hash(c["value"])))).alias("hash")).distinct()
-    verdicts = values.join(freq, "hash").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("hash", F.when(F.col("owners") > MAX_OWNERS, F.lit("example")).otherwise(F.lit("live"))))).alias("_v"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    span = lambda c: F.struct(c["from"].alias("start"), F.when(F.element_at("_v", value_hash(c["value"])) == "live", F.lit(len(PATTERNS))).otherwise(F.lit(len(PATTERNS) + 1)).alias("rank"), F.element_at("_v", value_hash(c["value"])).alias("kind"), c["end"].alias("end"))
-    hit = keyed.where(F.size(name) > 0).join(verdicts, "_key", "left").withColumn(f"{name}_added", F.array_distinct(F.transform(name, span)))
-    miss = keyed.where(F.size(name) == 0).withColumn(f"{name}_added", none)
-    return hit.select(*keep, name, f"{name}_added").unionByName(miss.select(*keep, name, f"{name}_added"))
+    marked = docs.withColumn(name, candidates(F.col(text)))
+    own = F.col(repo) if repo else F.when(F.size(name) > 0, repository(F.col(text)))
+    marked = materialize(marked.select(*keep, name, F.col(owner).alias("_owner"), own.alias("_repo")), "scanned")
+    hashes = F.array_distinct(F.transform(name, lambda c: value_hash(c["value"])))
+    some = marked.where(F.size(name) > 0).withColumn("_key", F.sha2(F.array_join(F.transform(name, lambda c: value_hash(c["value"])), ",").cast("binary"), 256))
+    freq = ownership(marked, name)
+    values = some.select("_key", F.explode(hashes).alias("hash")).distinct()
+    entry = F.struct("hash", F.struct(verdict(F.col("repos"), F.col("owners")).alias("kind"), "repos", "owners"))
+    verdicts = values.join(freq, "hash").groupBy("_key").agg(F.map_from_entries(F.collect_set(entry)).alias("_v"))
+    of = lambda c: F.element_at("_v", value_hash(c["value"]))
+    rank = lambda kind: F.when(kind == "live", F.lit(len(PATTERNS))).otherwise(F.lit(len(PATTERNS) + 1))
+    span = lambda c: F.struct(c["from"].alias("start"), rank(of(c)["kind"]).alias("rank"), of(c)["kind"].alias("kind"), c["end"].alias("end"))
+    count = lambda c: F.struct(of(c)["repos"].alias("repos"), of(c)["owners"].alias("owners"))
+    added, counts = f"{name}_added", f"{name}_counts"
+    hit = some.join(verdicts, "_key", "left").withColumns({added: F.array_distinct(F.transform(name, span)), counts: F.transform(name, count)})
+    miss = marked.where(F.size(name) == 0).withColumns({added: F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"), counts: F.array().cast("array<struct<repos:bigint,owners:bigint>>")})
+    return hit.select(*keep, name, added, counts).unionByName(miss.select(*keep, name, added, counts))
 
 
 def _join(spans: Column) -> Column:
@@ -90,14 +113,16 @@ def _join(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of (doc_id, text, source).
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, ownership of every row of (doc_id, text, source).
 
-    Null and empty texts have no spans. Repeated rows each get their row. Other columns are not read.
+    `ownership` has repositories/owners of each base span's value, in order. Null and empty texts have no spans. Repeated rows each get their row. Other columns are not read.
     """
-    found = scan(docs, ["doc_id", "source"])
+    found = scan(docs, ["doc_id"])
     n = lambda k: F.size(F.filter("_c", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}")
     slim = F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return found.select("doc_id", *[n(k) for k in PATTERNS], F.sha2(_join(F.col("_c")).cast("binary"), 256).alias("base_sha256"), _join(F.sort_array(F.concat(slim, "_c_added"))).alias("spans"))
+    return found.select(
+        "doc_id", *[n(k) for k in PATTERNS], F.sha2(_join(F.col("_c")).cast("binary"), 256).alias("base_sha256"), _join(F.sort_array(F.concat(slim, "_c_added"))).alias("spans"),
+        F.array_join(F.transform("_c_counts", lambda c: F.concat_ws("/", c["repos"].cast("string"), c["owners"].cast("string"))), ",").alias("ownership"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
