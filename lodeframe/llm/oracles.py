@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import CONTROL, END, START
-from .quality import LEAST, LOWER, MIN_WORDS, SPREAD, UPPER
+from .quality import LEAST, LOOSER, LOWER, MIN_WORDS, PART, PRECISION, SPREAD, UPPER
 from .secrets import MAX_OWNERS, MAX_REPOS, SHINGLE
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -30,19 +30,23 @@ def _pick(bound: str) -> str:
 
 
 def _op2() -> str:
-    cut = "mid + {s} * (high - mid) AS top, mid - {s} * (mid - low) AS bottom".format(s=SPREAD)
-
-    def level(name: str, keys: str) -> str:
+    def level(name: str, keys: str, above: str = "") -> str:
         group = f"{keys}, " if keys else ""
+        up, down = f"GREATEST(q.high - q.mid, q.mid // {PRECISION})", f"GREATEST(q.mid - q.low, q.mid // {PRECISION})"
+        if above:
+            up, down = (f"LEAST({x}, {LOOSER} * p.{y} + q.mid // {PART})" for x, y in ((up, "up"), (down, "down")))
+        on = "q.measure = p.measure" + (" AND q.lang IS NOT DISTINCT FROM p.lang" if above == "by_lang" else "")
+        own = ", ".join(f"q.{k}" for k in [*keys.split(", "), "measure", "docs", "mid"] if k)
         return f"""
-{name} AS (SELECT {group}measure, docs, {cut} FROM (
-  SELECT {group}measure, COUNT(*) AS docs, list_sort(list(b))[(COUNT(*) + 3) // 4] AS low, list_sort(list(b))[(COUNT(*) * 2 + 3) // 4] AS mid, list_sort(list(b))[(COUNT(*) * 3 + 3) // 4] AS high
-  FROM good GROUP BY {group}measure) q)"""
+{name}_raw AS (
+  SELECT {group}measure, COUNT(*) AS docs, list_sort(list(b))[(COUNT(*) + 9) // 10] AS low, list_sort(list(b))[(COUNT(*) * 5 + 9) // 10] AS mid, list_sort(list(b))[(COUNT(*) * 9 + 9) // 10] AS high
+  FROM good GROUP BY {group}measure),
+{name} AS (SELECT *, mid + {SPREAD} * up AS top, mid - {SPREAD} * down AS bottom FROM (SELECT {own}, {up} AS up, {down} AS down FROM {name}_raw q {f"JOIN {above} p ON {on}" if above else ""}) z)"""
 
-    rates = {"symbol_rate": "n_symbols * 1000", "dup_line_rate": "n_dup_lines * 100000", "repeat_rate": "n_repeat_words * 1000", "word_length": "word_chars * 1000"}
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {x} // GREATEST(n_words, 1) AS v FROM base WHERE NOT base_failed" for m, x in rates.items())
+    long = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {c} AS c, n_words, {c} * {scale} // GREATEST(n_words, 1) AS v FROM base WHERE NOT base_failed" for m, (c, scale, _) in UPPER.items())
     over = " OR ".join(
-        [f"(g.measure = '{m}' AND g.v > GREATEST({v}, {_pick('top')}))" for m, v in UPPER.items()] + [f"(g.measure = '{m}' AND g.v < LEAST({v}, {_pick('bottom')}))" for m, v in LOWER.items()])
+        [f"(g.measure = '{m}' AND g.c * {scale} > {_pick('top')} * g.n_words + {least * scale})" for m, (_, scale, least) in UPPER.items()]
+        + [f"(g.measure = '{m}' AND g.c * {UPPER[m][1]} < {_pick('bottom')} * g.n_words)" for m in LOWER])
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM t),
@@ -55,9 +59,9 @@ counted AS (
   FROM w LEFT JOIN covered c ON c.rid = w.rid),
 base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
 good AS (SELECT *, v - v % (1 << GREATEST(length(ltrim(bin(v), '0')) - 6, 0)) AS b FROM ({long}) r),
-{level('by_source', 'lang, source')},
-{level('by_lang', 'lang')},
 {level('by_all', '')},
+{level('by_lang', 'lang', 'by_all')},
+{level('by_source', 'lang, source', 'by_lang')},
 bad AS (
   SELECT DISTINCT g.rid FROM good g JOIN by_source s ON s.measure = g.measure AND s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source
   JOIN by_lang l ON l.measure = g.measure AND l.lang IS NOT DISTINCT FROM g.lang JOIN by_all a ON a.measure = g.measure WHERE {over})

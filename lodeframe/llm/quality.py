@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shielded, words_of
 
-#: Measures judged from above, in thousandths; each with the slack below which its cut-off never falls.
-#: Clean prose stays well under the slack, so an all-clean source loses nothing.
-UPPER = {"symbol_rate": 150, "dup_line_rate": 2500, "repeat_rate": 350, "word_length": 14000}
-#: Measure judged from below, with the ceiling above which its cut-off never rises.
-LOWER = {"word_length": 2200}
-#: The cut-off is the median plus (or minus) so many times the distance from the median to the outer quartile.
-SPREAD = 6
-#: Groups of fewer documents borrow the sketch of their language; languages of fewer that of the corpus.
+#: Measures judged from above: the count, its scale, and how many of it say nothing yet in a document of any length.
+UPPER = {"symbol_rate": ("n_symbols", 1000, 3), "dup_line_rate": ("n_dup_lines", 100_000, 3), "repeat_rate": ("n_repeat_words", 1000, 30), "word_length": ("word_chars", 1000, 0)}
+#: Measure judged from below too.
+LOWER = ("word_length",)
+#: A cut-off is the median plus (or minus) so many times the distance from the median to the outer decile.
+SPREAD = 8
+#: A group's distance is at most so many times that of the sketch above it, plus one in so many parts of its median. So a source that differs
+#: as a whole has its own cut-offs, and one whose outer decile is junk amid the usual does not loosen them.
+LOOSER, PART = 2, 8
+#: A sketch's values are exact to one in so many parts, and no distance is finer.
+PRECISION = 32
+#: Groups of fewer documents borrow the cut-offs of their language; languages of fewer those of the corpus.
 LEAST = 64
 MIN_WORDS = 50
 
@@ -78,10 +82,9 @@ def base_failed(m: str) -> Column:
 
 
 def rates(m: str) -> Column:
-    """The judged measures, in thousandths per word (dup_line_rate: per 100 words; word_length: characters)."""
+    """The judged measures as counts a word, each times its scale."""
     per = F.greatest(F.col(f"{m}.n_words"), F.lit(1))
-    over = lambda c, k: F.floor(F.col(f"{m}.{c}") * k / per).cast("long")
-    return F.struct(over("n_symbols", 1000).alias("symbol_rate"), over("n_dup_lines", 100_000).alias("dup_line_rate"), over("n_repeat_words", 1000).alias("repeat_rate"), over("word_chars", 1000).alias("word_length"))
+    return F.struct(*[F.floor(F.col(f"{m}.{c}") * scale / per).cast("long").alias(k) for k, (c, scale, _) in UPPER.items()])
 
 
 def bucket(v: Column) -> Column:
@@ -97,43 +100,57 @@ def sketches(measured: DataFrame, lang: str, source: str, rate: str) -> DataFram
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents, lower quartile, median and upper quartile of each merged sketch."""
+    """Documents, lowest decile, median and highest decile of each merged sketch."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumns({"total": F.sum("n").over(own), "upto": F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))})
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), at(1).alias("low"), at(2).alias("mid"), at(3).alias("high"))
+    at = lambda q: F.min(F.when(F.col("upto") * 10 >= F.col("total") * q, F.col("bucket")))
+    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), at(1).alias("low"), at(5).alias("mid"), at(9).alias("high"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source) with a struct of cut-offs for each measure."""
-    cut = lambda df: df.withColumns({"top": F.col("mid") + SPREAD * (F.col("high") - F.col("mid")), "bottom": F.col("mid") - SPREAD * (F.col("mid") - F.col("low"))})
-    own, by_lang, all_ = (cut(quantiles(sketch, k)) for k in (["lang", "source"], ["lang"], []))
-    named = lambda df, p, keys: df.select(*[F.col(k).alias(f"{p}_{k}") for k in keys], F.col("measure").alias(f"{p}_measure"), F.col("docs").alias(f"{p}_docs"), F.col("top").alias(f"{p}_top"), F.col("bottom").alias(f"{p}_bottom"))
-    joined = own.join(named(by_lang, "l", ["lang"]), F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")), "left")
-    joined = joined.join(named(all_, "a", []), F.col("measure") == F.col("a_measure"), "left")
+    """One row per (lang, source) with the cut-offs of each measure: k_top and, for some, k_bottom."""
+
+    def cut(df: DataFrame, above: str | None = None) -> DataFrame:
+        """Distances up and down, bounded by those of the sketch ``above``, and the cut-offs."""
+        fine = F.floor(F.col("mid") / PRECISION).cast("long")
+        up, down = F.greatest(F.col("high") - F.col("mid"), fine), F.greatest(F.col("mid") - F.col("low"), fine)
+        if above:
+            part = F.floor(F.col("mid") / PART).cast("long")
+            up, down = F.least(up, LOOSER * F.col(f"{above}_up") + part), F.least(down, LOOSER * F.col(f"{above}_down") + part)
+        return df.withColumns({"up": up, "down": down}).withColumns({"top": F.col("mid") + SPREAD * F.col("up"), "bottom": F.col("mid") - SPREAD * F.col("down")})
+
+    def named(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"{p}_{k}") for k in (*keys, "measure", "docs", "up", "down", "top", "bottom")])
+
+    corpus = named(cut(quantiles(sketch, [])), "a", [])
+    by_lang = cut(quantiles(sketch, ["lang"]).join(corpus, F.col("measure") == F.col("a_measure")), "a")
+    above = by_lang.select(*[F.col(k).alias(f"l_{k}") for k in ("lang", "measure", "docs", "up", "down", "top", "bottom")], "a_top", "a_bottom")
+    joined = cut(quantiles(sketch, ["lang", "source"]).join(above, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))), "l")
     pick = lambda c: F.when(F.col("docs") >= LEAST, F.col(c)).when(F.col("l_docs") >= LEAST, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    aggs = [F.max(F.when(F.col("measure") == k, F.greatest(pick("top"), F.lit(v)))).alias(f"{k}_top") for k, v in UPPER.items()]
-    aggs += [F.max(F.when(F.col("measure") == k, F.least(pick("bottom"), F.lit(v)))).alias(f"{k}_bottom") for k, v in LOWER.items()]
+    aggs = [F.max(F.when(F.col("measure") == k, pick("top"))).alias(f"{k}_top") for k in UPPER]
+    aggs += [F.max(F.when(F.col("measure") == k, pick("bottom"))).alias(f"{k}_bottom") for k in LOWER]
     return joined.groupBy("lang", "source").agg(*aggs)
 
 
 def judged(measured: DataFrame, lang: str = "lang", source: str = "source", m: str = "_m", out: str = "_kept") -> DataFrame:
     """A measured table (read twice, so materialised) with the verdict column, joined with its groups' thresholds.
 
+    A document is over a cut-off when its count exceeds what the cut-off gives for its words and the few that say nothing.
     Null languages and sources are groups of their own. A group's key never gathers documents in a task: the
     sketches are pre-aggregated, and the join can be split.
     """
-    rated = measured.withColumn("_rate", rates(m))
-    cuts = materialize(thresholds(sketches(rated.where(~base_failed(m)), lang, source, "_rate")).withColumnsRenamed({"lang": "_t_lang", "source": "_t_source"}), "thresholds")
-    over = F.lit(False)
-    for k in UPPER:
-        over = over | (F.col(f"_rate.{k}") > F.col(f"{k}_top"))
+    rated = measured.where(~base_failed(m)).withColumn("_rate", rates(m))
+    cuts = materialize(thresholds(sketches(rated, lang, source, "_rate")).withColumnsRenamed({"lang": "_t_lang", "source": "_t_source"}), "thresholds")
+    words, over = F.col(f"{m}.n_words"), F.lit(False)
+    for k, (c, scale, least) in UPPER.items():
+        over = over | (F.col(f"{m}.{c}") * scale > F.col(f"{k}_top") * words + least * scale)
     for k in LOWER:
-        over = over | (F.col(f"_rate.{k}") < F.col(f"{k}_bottom"))
-    joined = rated.join(cuts, F.col(lang).eqNullSafe(F.col("_t_lang")) & F.col(source).eqNullSafe(F.col("_t_source")), "left")
+        c, scale, _ = UPPER[k]
+        over = over | (F.col(f"{m}.{c}") * scale < F.col(f"{k}_bottom") * words)
+    joined = measured.join(cuts, F.col(lang).eqNullSafe(F.col("_t_lang")) & F.col(source).eqNullSafe(F.col("_t_source")), "left")
     verdict = ~base_failed(m) & ~F.coalesce(over, F.lit(False))
-    return joined.withColumn(out, verdict).drop("_rate", "_t_lang", "_t_source", *[f"{k}_top" for k in UPPER], *[f"{k}_bottom" for k in LOWER])
+    return joined.withColumn(out, verdict).drop("_t_lang", "_t_source", *[f"{k}_top" for k in UPPER], *[f"{k}_bottom" for k in LOWER])
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

@@ -18,36 +18,65 @@ def bucket(v):
     return v >> e << e
 
 
-def test_against_brute_force(spark):
-    rows = corpus(400)
-    rows += [(1000 + k, " ".join(f"junk{j}*** $$$%%%" for j in range(60 + k)), "en", "hot", 1) for k in range(20)]
-    got = {(r.doc_id, r.n_words): tuple(r) for r in quality.quality_report(frame(spark, rows)).collect()}
-    bases = [(r, base(r[1])) for r in rows]
-    failed = lambda b: b[0] < 50 or 100 * b[4] > 50 * b[0]
-    rates = lambda b: {"symbol_rate": b[2] * 1000 // max(b[0], 1), "dup_line_rate": b[3] * 100_000 // max(b[0], 1), "repeat_rate": b[4] * 1000 // max(b[0], 1), "word_length": b[1] * 1000 // max(b[0], 1)}
+def failed(b):
+    return b[0] < 50 or 100 * b[4] > 50 * b[0]
 
-    def quartiles(values):
-        c, at, out = sorted(map(bucket, values)), 0, []
-        for q in (1, 2, 3):
-            out.append(next(v for k, v in enumerate(c, 1) if sum(x <= v for x in c) * 4 >= len(c) * q))
-        return out
 
-    good = [(r, rates(b)) for r, b in bases if not failed(b)]
+MEASURES = {"symbol_rate": (2, 1000, 3), "dup_line_rate": (3, 100_000, 3), "repeat_rate": (4, 1000, 30), "word_length": (1, 1000, 0)}
 
-    def cut(r, m):
-        own = [x[m] for s, x in good if (s[2], s[3]) == (r[2], r[3])]
-        if len(own) < quality.LEAST:
-            own = [x[m] for s, x in good if s[2] == r[2]] if sum(s[2] == r[2] for s, _ in good) >= quality.LEAST else [x[m] for _, x in good]
-        lo, mid, hi = quartiles(own)
-        return max(quality.UPPER[m], mid + 6 * (hi - mid)), mid - 6 * (mid - lo)
 
+def brute_kept(rows):
+    """The verdict on each row, from all values of its group, its language and the corpus."""
+    bases = [(r, base(r[1])) for r in rows]
+    good = [(r, b) for r, b in bases if not failed(b)]
+
+    def spread(own, m, above=None):
+        at, scale, _ = MEASURES[m]
+        c = sorted(bucket(b[at] * scale // b[0]) for _, b in own)
+        low, mid, high = (c[-(-len(c) * q // 10) - 1] for q in (1, 5, 9))
+        up, down = max(high - mid, mid // 32), max(mid - low, mid // 32)
+        if above:
+            up, down = min(up, 2 * above[1] + mid // 8), min(down, 2 * above[2] + mid // 8)
+        return mid, up, down, len(own)
+
+    out = []
     for r, b in bases:
-        x = rates(b)
-        kept = not failed(b) and all(x[m] <= cut(r, m)[0] for m in quality.UPPER) and all(x[m] >= min(v, cut(r, m)[1]) for m, v in quality.LOWER.items())
-        assert got[r[0], b[0]] == (r[0], *b, failed(b), kept), r
+        ok = not failed(b)
+        for m, (at, scale, least) in MEASURES.items():
+            if failed(b):
+                break
+            corpus = spread(good, m)
+            lang = spread([x for x in good if x[0][2] == r[2]], m, corpus)
+            own = spread([x for x in good if x[0][2:4] == r[2:4]], m, lang)
+            mid, up, down, _ = own if own[3] >= quality.LEAST else lang if lang[3] >= quality.LEAST else corpus
+            ok &= b[at] * scale <= (mid + 8 * up) * b[0] + least * scale
+            ok &= m != "word_length" or b[at] * scale >= (mid - 8 * down) * b[0]
+        out.append((r, b, ok))
+    return out
+
+
+def test_against_brute_force(spark):
+    rows = corpus(400)
+    rows += [(1000 + k, " ".join(f"junk{j}*** $$$%%%" for j in range(60 + k)), "en", "hot", 1) for k in range(20)]
+    got = {(r.doc_id, r.n_words): tuple(r) for r in quality.quality_report(frame(spark, rows)).collect()}
+    for r, b, ok in brute_kept(rows):
+        assert got[r[0], b[0]] == (r[0], *b, failed(b), ok), r
     assert sum(1 for (i, _), r in got.items() if i is not None and i >= 1000 and r[-1]) == 0
 
 
+def test_sources_have_their_own_cut_offs(spark):
+    """A source of tables keeps them, one in five junk documents loosen nothing, and single symbols say nothing."""
+    pool = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{k}" for k in range(5_000)]
+    text = lambda k, sep: sep.join(pool[(k * 389 + j * 7) % 5_000] for j in range(60 + k % 40))
+    rows = [(k, text(k, " "), "en", f"s{k % 4}", 1) for k in range(2_400)]
+    rows += [(5_000 + k, text(k, " | "), "en", "tables", 1) for k in range(150)]
+    rows += [(6_000 + k, text(k, " "), "en", "mixed", 1) if k % 5 else (6_000 + k, text(k, "*** #$%"), "en", "mixed", 1) for k in range(200)]
+    rows += [(7_000 + k, text(k, " ") + " a & b", "en", f"s{k % 4}", 1) for k in range(30)]
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not [r[0] for r in rows if r[3] != "mixed" and not got[r[0]]]
+    assert all(got[r[0]] == bool((r[0] - 6_000) % 5) for r in rows if r[3] == "mixed")
+
+
 def test_keep_good(spark):
     rows = corpus(200)
     df = frame(spark, rows)
