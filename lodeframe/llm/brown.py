@@ -1,13 +1,15 @@
 """Language-model scoring with Brown class-based bigrams.
 
 A token's probability is P(class | class before) * P(unit | class) * P(word | unit) (Brown et al., CL 1992). Units are the
-most frequent words, the end of a text, and shape units that hold all other words by their last two bytes. Exchange
-clustering (Martin, Liermann & Ney 1998) assigns units to classes by the likelihood of the corpus's unit bigrams. Class
-transitions are smoothed towards class frequencies; words of a shape unit are discounted absolutely, and what
-that frees is the unit's probability of unseen words.
-
-Counts cover all training texts. What every task holds is bounded by parameters (HEAD words, UNITS squared); counts of all
-rarer words are met by a shuffle join.
+words of the vocabulary, the end of a text, and shape units that hold all rarer words by their last two bytes. Exchange
+clustering (Martin, Liermann & Ney 1998) assigns units to classes by the likelihood of the corpus's class bigrams: exactly, one after the other,
+for the most frequent words and the shapes, which seeds the classes; then for all units at once by distributed sweeps (Uszkoreit &
+Brants, ACL 2008) over sparse counts of each unit beside each class. Class transitions are smoothed towards class frequencies; words of a shape
+unit are discounted absolutely, and what that frees is the unit's probability of unseen words.
+
+The vocabulary grows with the corpus, up to HEAD words; counts cover all training texts. What a task or the driver holds is bounded by HEAD
+and CLASSES; counts of all rarer words are met by a shuffle join. Texts are split into words twice, to count them and to write
+them as unit numbers; all else reads the numbers.
 """
 
 from __future__ import annotations
@@ -16,23 +18,29 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, runs, whole_groups
 
 CLASSES = 64
-TOP, SHAPES = 767, 256
-#: End of text is unit 0, then the top words, then the shapes.
-UNITS = 1 + TOP + SHAPES
-#: Words whose counts every scoring task holds; all others are joined.
+SHAPES = 256
+#: Words that seed the classes, with the shapes, by exact exchange on the driver.
+SEEDS = 767
+#: Words with a unit of their own at most, the memory that every task has for them; all rarer ones share shape units.
 HEAD = 200_000
-SWEEPS = 10
+#: Sweeps of the exact exchange and of the distributed one.
+SWEEPS, WIDE_SWEEPS = 10, 2
+#: Turns of a distributed sweep; of the units, each turn moves one in so many.
+PARTS = 2
 #: Weight of the class frequencies in a class's transitions, in tokens.
 KAPPA = 20.0
+#: Pairs that a task sorts at a time.
+_PAIRS = 4_000_000
 
 
 def shape(word: bytes) -> int:
@@ -63,48 +71,102 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("bytes").mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int | None = None) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words and their counts, at most ``most`` (HEAD), by falling count.
+def frequent_words(counts: DataFrame, most: int | None = None) -> tuple[list[bytes], np.ndarray, int]:
+    """The most frequent words by falling count, at most ``most`` (HEAD), their counts, and the least count that all of them have and no other word.
 
     A histogram over a few hundred bands of counts tells the least count for which all its words still fit, so no task
     gathers more than the words returned.
     """
     most = HEAD if most is None else most
     bands = counts.groupBy(F.floor(F.log2("n") * 8).alias("band")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
-    least, total = None, 0
+    least, total = 2**62, 0
     for band in sorted(bands, key=lambda r: -r["band"]):
         total += band["words"]
         if total > most:
             break
         least = band["least"]
-    found = counts.where(F.col("n") >= (least if least is not None else 2**62)).toArrow()
+    found = counts.where(F.col("n") >= least).toArrow()
     pairs = sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
-    return [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64)
+    return [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64), least
+
 
+#: Worker-local lookups, by the name of what they were made from.
+_READY: dict[str, object] = {}
 
-def _unit_ids(words: list[bytes], unit: dict[bytes, int]) -> list[int]:
-    return [u if (u := unit.get(w)) is not None else 1 + TOP + shape(w) for w in words]
+
+def _ready(name: str, make):
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = make()
+    return _READY[name]
 
 
-def unit_bigrams(texts: DataFrame, top: list[bytes]) -> np.ndarray:
-    """Counts of unit pairs over all texts, each between two ends. At most UNITS squared numbers reach the driver."""
+def encoded(rows: DataFrame, words) -> DataFrame:
+    """(uid, doc_id, held_out, units, tails) of (doc_id, bytes): the unit of each word, and each rarer word with its number and shape.
+
+    Unit 0 is the end of a text, which is not written; then come the broadcast ``words``, then the shapes.
+    """
+    name = uuid.uuid4().hex
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, counts = {w: k + 1 for k, w in enumerate(top)}, np.zeros(UNITS * UNITS, np.int64)
+        at = _ready(name, lambda: {x: k + 1 for k, x in enumerate(words.value)})
+        first = len(at) + 1
         for b in batches:
-            for t in b.column(0):
-                u = np.array([0, *_unit_ids((t.as_py() or b"").lower().split(), unit), 0], np.int64)
-                pairs, n = np.unique(u[:-1] * UNITS + u[1:], return_counts=True)
-                counts[pairs] += n
+            flat, lengths, tails = [], [], []
+            for t in b.column("bytes"):
+                w = (t.as_py() or b"").lower().split()
+                u = np.fromiter((at.get(x, 0) for x in w), np.int32, len(w))
+                rare = Counter(w[i] for i in np.flatnonzero(u == 0).tolist())
+                if rare:
+                    own = {x: shape(x) for x in rare}
+                    u[u == 0] = [first + own[w[i]] for i in np.flatnonzero(u == 0).tolist()]
+                    tails.append([{"word": x, "n": n, "s": own[x]} for x, n in rare.items()])
+                else:
+                    tails.append([])
+                flat.append(u)
+                lengths.append(len(w))
+            units = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("s", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names[:3]), units, pa.array(tails, kind)], names=names)
+
+    names = ["uid", "doc_id", "held_out", "units", "tails"]
+    marked = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "bytes")
+    kind = dict(rows.dtypes)["doc_id"]
+    return materialize(marked.mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, units array<int>, tails array<struct<word: binary, n: int, s: int>>"), "encoded")
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The units of a batch of texts, each with an end, after a first end: neighbours are pairs. And where each text stops."""
+    lengths = np.diff(column.offsets.to_numpy())
+    stops = np.cumsum(lengths + 1)
+    out = np.zeros(int(stops[-1]) + 1 if len(stops) else 1, np.int32)
+    inside = np.ones(len(out), bool)
+    inside[0] = False
+    inside[stops] = False
+    out[inside] = column.flatten().to_numpy()
+    return out, stops
+
+
+def bigrams(texts: DataFrame, of: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring groups over all texts, each between two ends; ``of`` has the group of each unit, and is broadcast."""
+    size, shared = int(of.max()) + 1, texts.sparkSession.sparkContext.broadcast(of.astype(np.int32))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts = shared.value, np.zeros(size * size, np.int64)
+        for b in batches:
+            g = of[_texts(b.column(0))[0]].astype(np.int64)
+            pairs, n = np.unique(g[:-1] * size + g[1:], return_counts=True)
+            counts[pairs] += n
         found = np.flatnonzero(counts)
         for at in range(0, len(found), 100_000):
             part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["pair", "n"])
 
-    rows = texts.select("bytes").mapInArrow(work, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(UNITS * UNITS)
+    rows = texts.select("units").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
     out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(UNITS, UNITS)
+    shared.unpersist()
+    return out.reshape(size, size)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -160,46 +222,161 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def likelihood(grid: np.ndarray) -> float:
+    """What the classes add to the corpus's log likelihood."""
+    return float(_f(grid).sum() - _f(grid.sum(axis=0)).sum() - _f(grid.sum(axis=1)).sum())
+
+
+def best_classes(beside: np.ndarray, old: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """For each unit the class in which it raises the likelihood most, all others staying.
+
+    A row of ``beside`` has a unit's counts before each class, then after each class. Its own counts are taken off the cells of its ``old`` class.
+    """
+    classes = len(grid)
+    both = np.concatenate([grid.T, grid])  # for the class beside, the cells of each class that the unit could have
+    f_both, sums = _f(both), np.stack([grid.sum(axis=1), grid.sum(axis=0)])
+    gain = np.zeros((len(beside), classes))
+    unit, slot = np.nonzero(beside)
+    for at in range(0, len(unit), 16_384):
+        u, d = unit[at : at + 16_384], slot[at : at + 16_384]
+        n, cells, mine = beside[u, d], both[d], np.arange(len(u))
+        more = _f(cells + n[:, None]) - f_both[d]
+        own = cells[mine, old[u]]
+        more[mine, old[u]] = _f(own) - _f(np.maximum(own - n, 0))
+        start, _ = runs(u)
+        np.add.at(gain, u[start], np.add.reduceat(more, start))
+    every = np.arange(len(beside))
+    for side, total in enumerate((beside[:, :classes].sum(axis=1), beside[:, classes:].sum(axis=1))):
+        less = _f(sums[side] + total[:, None]) - _f(sums[side])
+        own = sums[side][old]
+        less[every, old] = _f(own) - _f(np.maximum(own - total, 0))
+        gain -= less
+    gain[:, 0] = -np.inf  # the end's own
+    new = np.argmax(gain, axis=1)
+    return np.where(gain[every, new] > gain[every, old] + 1e-9, new, old)
+
+
+def sweep(texts: DataFrame, of: np.ndarray, grid: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Each unit of one part moves to the class that is best for it, all others staying as they are.
+
+    A task counts its units beside classes, sorted a few million pairs at a time; a unit's counts move as one row a task and meet in one task,
+    at most 2 * CLASSES numbers each.
+    """
+    classes, shared = len(grid), texts.sparkSession.sparkContext.broadcast((of.astype(np.int32), grid))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size = shared.value[0], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            unit, slot = keys // (2 * classes), (keys % (2 * classes)).astype(np.int16)
+            start, _ = runs(unit)
+            for a in range(0, len(start), 20_000):
+                s = np.append(start[a : a + 20_001], len(keys))[: min(20_000, len(start) - a) + 1]
+                at = pa.array(s - s[0], pa.int32())
+                lists = (pa.ListArray.from_arrays(at, pa.array(x[s[0] : s[-1]])) for x in (slot, n.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(unit[s[:-1]].astype(np.int32)), *lists], names=["unit", "slots", "counts"])
+
+        for b in batches:
+            u = _texts(b.column(0))[0].astype(np.int64)
+            c = of[u]
+            for own, other, side in ((u[:-1], c[1:], 0), (u[1:], c[:-1], classes)):
+                mine = (own > 0) & (own % parts == part)
+                held.append(own[mine] * (2 * classes) + side + other[mine])
+                size += len(held[-1])
+            if size > _PAIRS:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, grid = shared.value
+        for t in whole_groups(batches, "unit"):
+            t = t.combine_chunks()
+            unit = t.column("unit").to_numpy()
+            each, number = np.unique(unit, return_inverse=True)
+            table = np.zeros((len(each), 2 * classes))
+            slots, counts = (t.column(c).combine_chunks() for c in ("slots", "counts"))
+            np.add.at(table, (np.repeat(number, np.diff(slots.offsets.to_numpy())), slots.flatten().to_numpy()), counts.flatten().to_numpy())
+            new = best_classes(table, of[each], grid)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(new.astype(np.int32))], names=["unit", "class"])
+
+    found = texts.select("units").mapInArrow(count, "unit int, slots array<short>, counts array<int>")
+    moved = found.repartition("unit").sortWithinPartitions("unit").mapInArrow(move, "unit int, class int").toArrow()
+    shared.unpersist()
+    new = of.copy()
+    new[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
+    return new
+
+
+def cluster(texts: DataFrame, words: list[bytes], sweeps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the counts of neighbouring classes, of the encoded training ``texts``."""
+    shapes = np.array([shape(w) for w in words], np.int64)
+    top = min(SEEDS, len(words))
+    seed = np.concatenate([[0], np.where(np.arange(len(words)) < top, 1 + np.arange(len(words)), 1 + top + shapes), 1 + top + np.arange(SHAPES)])
+    of = exchange(bigrams(texts, seed), CLASSES)[seed]
+    grid = _grid(texts, of)
+    # units that would follow each other to and fro move by turns, fewer at once where a turn made things worse
+    parts = PARTS
+    for k in range(PARTS * (WIDE_SWEEPS if sweeps is None else sweeps)):
+        new = sweep(texts, of, grid, k % parts, parts)
+        now = _grid(texts, new)
+        if likelihood(now) > likelihood(grid):
+            of, grid = new, now
+        else:
+            parts *= 2
+    return of, grid
+
+
+def _grid(texts: DataFrame, of: np.ndarray) -> np.ndarray:
+    out = np.zeros((CLASSES, CLASSES))
+    found = bigrams(texts, of)
+    out[: len(found), : len(found)] = found
+    return out
+
+
+@dataclass
 class Model:
-    """Log10 tables of a trained model: transitions, units in classes, and discounts of the shape units."""
-
-    def __init__(self, pairs: np.ndarray, of: np.ndarray, stats: dict[int, tuple[int, int, int, int]]):
-        one = np.eye(CLASSES)[of]
-        grid = one.T @ pairs @ one
-        use = pairs.sum(axis=0)
-        unit = use + 0.1
-        in_class = one.T @ unit
-        share = (one.T @ use + 0.5) / (use.sum() + 0.5 * CLASSES)
-        # classes without units take no probability
-        share = np.where(in_class > 0, share, 0)
-        share /= share.sum()
-        step = (grid + KAPPA * share[None, :]) / (grid.sum(axis=1, keepdims=True) + KAPPA)
-        self.of, self.step = of, np.log10(np.maximum(step, 1e-300))
-        self.unit = np.log10(unit / in_class[of])
-        self.size, self.cut, self.unseen = np.ones(SHAPES), np.zeros(SHAPES), np.zeros(SHAPES)
-        for s, (n, types, once, twice) in stats.items():
-            cut = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            self.size[s], self.cut[s], self.unseen[s] = n, cut, np.log10(cut * types / n)
-
-
-def _head(words: list[bytes], counts: np.ndarray, total: int, types: int, model: Model):
-    """Per head word: its unit, its base log10 probability and its log10 probability within the unit."""
-    unit = np.array([k + 1 if k < TOP else 1 + TOP + shape(w) for k, w in enumerate(words)], np.int64)
-    s = np.maximum(unit - 1 - TOP, 0)
-    within = np.where(unit > TOP, np.log10(np.maximum(counts - model.cut[s], 1e-9) / model.size[s]), 0.0)
-    return unit, np.log10((counts + 1) / (total + types + 1)), within
-
-
-#: Worker-local lookup of the model in use, by its name.
-_READY: dict[str, tuple] = {}
-
-
-def _ready(name: str, shared) -> tuple:
-    if name not in _READY:
-        _READY.clear()
-        words, counts, total, types, model = shared.value
-        _READY[name] = {x: k for k, x in enumerate(words)}, *_head(words, counts, total, types, model), model
-    return _READY[name]
+    """A trained model. By unit: class, and log10 of its share of the class. Between classes: log10 transitions. By shape: words, discount, log10 of an unseen word's share."""
+
+    of: np.ndarray
+    unit: np.ndarray
+    step: np.ndarray
+    size: np.ndarray
+    cut: np.ndarray
+    unseen: np.ndarray
+
+
+def make_model(of: np.ndarray, grid: np.ndarray, use: np.ndarray, stats: dict[int, tuple[int, int, int, int]]) -> Model:
+    """From classes, counts of neighbouring classes, occurrences of units, and per shape its (words, types, once, twice) in training."""
+    classes = len(grid)
+    held = np.bincount(of, use + 0.1, classes)
+    share = np.where(held > 0, (np.bincount(of, use, classes) + 0.5) / (use.sum() + 0.5 * classes), 0)  # classes without units take no probability
+    share /= share.sum()
+    step = (grid + KAPPA * share[None, :]) / (grid.sum(axis=1, keepdims=True) + KAPPA)
+    size, cut, unseen = np.ones(SHAPES), np.zeros(SHAPES), np.zeros(SHAPES)
+    for s, (n, types, once, twice) in stats.items():
+        cut[s] = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        size[s], unseen[s] = n, np.log10(cut[s] * types / n)
+    return Model(of, np.log10((use + 0.1) / held[of]), np.log10(np.maximum(step, 1e-300)), size, cut, unseen)
+
+
+def shape_stats(counts: DataFrame, least: int) -> dict[int, tuple[int, int, int, int]]:
+    """(words, types, once, twice) of the words rarer than ``least``, by shape."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, n = np.array([shape(w) for w in b.column("word").to_pylist()], np.int64), b.column("n").to_numpy()
+            table = np.zeros((4, SHAPES), np.int64)
+            for k, v in enumerate((n, 1, n == 1, n == 2)):
+                np.add.at(table[k], s, v)
+            hit = np.flatnonzero(table[1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hit, *table[:, hit])], names=["s", "n", "types", "once", "twice"])
+
+    sums = [F.sum(c).alias(c) for c in ("n", "types", "once", "twice")]
+    rows = counts.where(F.col("n") < least).mapInArrow(work, "s long, n long, types long, once long, twice long").groupBy("s").agg(*sums).collect()
+    return {r["s"]: (r["n"], r["types"], r["once"], r["twice"]) for r in rows}
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -212,66 +389,46 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     train = rows.where(in_training(F.col("doc_id")))
     counts = materialize(word_counts(train), "counts")
-    ends = train.count()
+    words, n_head, least = frequent_words(counts)
+    vocabulary = spark.sparkContext.broadcast(words)  # at most HEAD
+    texts = encoded(rows, vocabulary)
+    learnt = texts.where("not held_out")
+    ends = learnt.count()
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, types = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    words, n_head = frequent_words(counts)
-
-    def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip = set(top)
-        for b in batches:
-            keep = [(shape(w), n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()) if w not in skip]
-            s, n = np.array(keep, np.int64).reshape(-1, 2).T
-            table = np.zeros((4, SHAPES), np.int64)
-            for k, v in enumerate((n, 1, n == 1, n == 2)):
-                np.add.at(table[k], s, v)
-            hit = np.flatnonzero(table[1])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hit, *table[:, hit])], names=["s", "n", "types", "once", "twice"])
-
-    top = words[:TOP]
-    stats = counts.mapInArrow(shapes, "s long, n long, types long, once long, twice long").groupBy("s").agg(*[F.sum(c).alias(c) for c in ("n", "types", "once", "twice")]).collect()
-    pairs = unit_bigrams(train, top)
-    model = Model(pairs, exchange(pairs), {r["s"]: (r["n"], r["types"], r["once"], r["twice"]) for r in stats})
-    shared = spark.sparkContext.broadcast((words, n_head, total, types, model))  # bounded by HEAD and UNITS
-    name = uuid.uuid4().hex
-    end_base = float(np.log10(((ends or 0) + 1) / (total + types + 1)))
+    stats = shape_stats(counts, least)
+    of, grid = cluster(learnt, words)
+    use = np.concatenate([[ends], n_head, [stats[s][0] if s in stats else 0 for s in range(SHAPES)]]).astype(float)
+    model = make_model(of, grid, use, stats)
+    known = np.concatenate([[ends > 0], np.ones(len(words), bool), np.zeros(SHAPES, bool)])
+    # rarer words are met below
+    base = np.concatenate([np.log10((np.concatenate([[ends], n_head]) + 1) / (total + types + 1)), np.zeros(SHAPES)])
+    shared = spark.sparkContext.broadcast((model.of.astype(np.int32), model.unit, model.step, known, base))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, unit, base, within, m = _ready(name, shared)
+        of, unit, step, known, base = shared.value
         for b in batches:
-            out = []
-            for t in b.column("bytes"):
-                w = (t.as_py() or b"").lower().split()
-                k = np.array([at.get(x, -1) for x in w], np.int64)
-                known = k >= 0
-                u = np.zeros(len(w) + 2, np.int64)
-                u[1:-1][known] = unit[k[known]]
-                rare = np.flatnonzero(~known)
-                s = [shape(w[i]) for i in rare]
-                u[1:-1][rare] = np.array(s, np.int64) + 1 + TOP
-                c = m.of[u]
-                value = m.step[c[:-1], c[1:]].sum() + m.unit[u[1:]].sum() + within[k[known]].sum()
-                tails = Counter(w[i] for i in rare)
-                out.append((len(w) + 1, int(known.sum()) + (ends > 0), float(base[k[known]].sum()) + end_base, float(value), [{"word": x, "n": n, "s": shape(x)} for x, n in tails.items()]))
-            if out:
-                cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("s", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("uid", "doc_id", "held_out")), *(pa.array(x, y) for x, y in zip(cols, kinds))], names=names)
+            u, stops = _texts(b.column("units"))
+            if not len(stops):
+                continue
+            c, first = of[u], np.append(0, stops[:-1])
+            each = lambda x: np.add.reduceat(x, first)
+            value = step[c[:-1], c[1:]] + unit[u[1:]]
+            out = [pa.array(np.diff(np.append(0, stops))), pa.array(each(known[u[1:]].astype(np.int64))), pa.array(each(base[u[1:]])), pa.array(each(value))]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names[:3]), *out], names=names)
 
+    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"]
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, value double, tails array<struct<word: binary, n: int, s: int>>"
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "value", "tails"]
-    marked = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "bytes")
-    parts = materialize(marked.mapInArrow(work, schema), "scored")
-    rare = parts.select("uid", F.explode("tails").alias("t")).select("uid", "t.word", F.col("t.n").alias("k"), "t.s").join(counts, "word", "left")
-    of = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("s") + 1)
+    parts = texts.select("uid", "doc_id", "held_out", "units").mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, value double")
+    rare = texts.select("uid", F.explode("tails").alias("t")).select("uid", "t.word", F.col("t.n").alias("k"), "t.s").join(counts, "word", "left")
+    by_shape = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("s") + 1)
     c = F.coalesce("n", F.lit(0))
-    seen = F.log10(c - of(model.cut)) - F.log10(of(model.size))
+    seen = F.log10(c - by_shape(model.cut)) - F.log10(by_shape(model.size))
     sums = rare.groupBy("uid").agg(
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("r_known"),
         F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(total + types + 1)))).alias("r_base"),
-        F.sum(F.col("k") * F.when(c > 0, seen).otherwise(of(model.unseen))).alias("r_value"))
+        F.sum(F.col("k") * F.when(c > 0, seen).otherwise(by_shape(model.unseen))).alias("r_value"))
     none = lambda x: F.coalesce(x, F.lit(0))
-    return parts.drop("tails").join(sums, "uid", "left").select(
+    return parts.join(sums, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + none("r_known")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + none("r_base")).alias("base_score"), (F.col("value") + none("r_value")).alias("score"))
