@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import CONTROL, END, START
 from .quality import LEAST, LOOSER, LOWER, MIN_WORDS, PART, PRECISION, SPREAD, UPPER
 from .secrets import MAX_OWNERS, MAX_REPOS, SHINGLE
+from .warc import MODULUS, SPOILT
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,7 +120,8 @@ WITH d AS (SELECT page_id, strlen(COALESCE(html, '')) AS n, sha1(COALESCE(html,
 f AS (SELECT *, MIN(page_id) OVER (PARTITION BY x) AS first,
   list_aggregate(list_transform(range(1, 41), lambda i: substr('{nibbles}', 4 * strpos('0123456789abcdef', substr(x, i, 1)) - 3, 4)), 'string_agg', '') AS b FROM d)
 SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {value}, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to,
+  COALESCE(page_id % {MODULUS} <> {SPOILT}, TRUE) AS salvaged
 FROM f
 """
 

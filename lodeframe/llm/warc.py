@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 VERSION = b"WARC/1.1"
+LINES = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+#: Bytes of a record's header at most.
+HEADER = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 #: An archive is closed once it holds so many bytes.
 ARCHIVE = 4 << 20
@@ -82,8 +85,8 @@ def _page(urn: str | None) -> int | None:
 
 def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The record at ``at`` and the offset after it; raises BadRecord when any check fails."""
-    end = data.find(b"\r\n\r\n", at)
-    if not data.startswith(b"WARC/1.", at) or end < 0:
+    end = data.find(b"\r\n\r\n", at, at + HEADER) if data[at : at + 10] in LINES else -1
+    if end < 0:
         raise BadRecord("no version line or header end")
     headers = {}
     for line in data[at:end].split(b"\r\n")[1:]:
@@ -107,11 +110,12 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
 def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """The content of the gzip member at ``at``, the offset reached, and what is wrong with it: then the content ends there."""
 
-    def unpacked(step: int, upto: int | None = None) -> tuple[bytearray, int, str | None]:
-        unpack, out, place = zlib.decompressobj(31), bytearray(), at
+    def unpacked(most: int, upto: int | None = None) -> tuple[bytearray, int, str | None]:
+        unpack, out, place, step = zlib.decompressobj(31), bytearray(), at, min(most, 1024)
         while not unpack.eof:
-            # input in slices: decompressobj keeps a copy of the rest of what it is given
-            size = 262144 if upto is not None and place < upto else step
+            # input in growing slices: decompressobj keeps a copy of the rest of what it is given, and most false starts end soon
+            size = min(step, upto - place) if upto is not None and place < upto else min(most, step)
+            step = min(4 * step, 262144)
             part = data[place : place + size]
             if not part:
                 return out, place, "member is cut short"
@@ -129,15 +133,28 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     return bytes(out), place, wrong
 
 
+def _next(data: bytes, marker: bytes):
+    """A function that finds the first ``marker`` from a place on. Places only rise, so nothing is searched twice."""
+    hit = -2
+
+    def find(at: int) -> int:
+        nonlocal hit
+        if hit != -1 and hit < at:
+            hit = data.find(marker, at)
+        return len(data) if hit == -1 else hit
+
+    return find
+
+
 def _inside(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
     """Records and gaps of a member's content; after a bad record it goes on at the next version line."""
-    records, gaps, at, bad = [], [], 0, None
+    records, gaps, at, bad, version = [], [], 0, None, _next(data, b"WARC/1.")
     while at < len(data):
         try:
             record, after = parse_record(data, at)
         except BadRecord as e:
             bad = bad or (at, str(e))
-            at = ahead if (ahead := data.find(b"WARC/1.", at + 1)) >= 0 else len(data)
+            at = version(at + 1)
             continue
         if bad:
             gaps.append((bad[0], at, bad[1]))
@@ -154,8 +171,10 @@ def salvage(data: bytes) -> Salvage:
 
     A bad record costs its member no other one: its gap is the member's, with the place inside in the reason. Of a member
     that fails its own check, the records before the damage are kept where there are several; one alone falls with it.
+    The time is in proportion to the bytes, and to HEADER for each false version line.
     """
     found, at, bad = Salvage(), 0, None
+    magic, version = _next(data, MAGIC), _next(data, b"WARC/1.")
     while at < len(data):
         gaps, wrong, versions = [], None, at + 1
         try:
@@ -176,8 +195,7 @@ def salvage(data: bytes) -> Salvage:
                 records = [record]
         except BadRecord as e:
             bad = bad or (at, str(e))
-            ahead = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", versions)) if x >= 0]
-            at = min(ahead, default=len(data))
+            at = min(magic(at + 1), version(versions))
             continue
         if bad:
             found.gaps.append((bad[0], at, bad[1]))
@@ -190,6 +208,16 @@ def salvage(data: bytes) -> Salvage:
     return found
 
 
+def damaged(data: bytes, spans: Iterable[tuple[int, int]], turn: int = 0) -> bytes:
+    """``data`` with each span spoilt in one of four ways by turns: its magic, its middle, its check sum, or a third of it zeroed."""
+    out = bytearray(data)
+    for k, (start, end) in enumerate(spans, turn):
+        third = (end - start) // 3
+        lo, hi = ((start, start + 2), (start + third, start + third + 4), (end - 8, end - 4), (start + third, start + 2 * third))[k % 4]
+        out[lo:hi] = bytes(hi - lo) if k % 4 == 3 else bytes(x ^ 0x5A for x in out[lo:hi])
+    return bytes(out)
+
+
 def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE) -> DataFrame:
     """(archive, content) of WARC records for every row of (page_id, url, html), in the shared folder.
 
@@ -224,6 +252,16 @@ def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIV
     return materialize(joined.mapInArrow(work, "archive string, content binary"), "archives")
 
 
+def _length(r: Record) -> int:
+    """Bytes of a record's payload; of a revisit, which has none of its own, as its header states."""
+    stated = r.headers.get("payload-length", "")
+    return int(stated) if r.headers.get("warc-type") == "revisit" and stated.isdigit() else len(r.payload)
+
+
+def _digest(r: Record) -> str | None:
+    return r.headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+
+
 RECORD = "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, gap_end long, reason string"
 
 
@@ -236,9 +274,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 got, rows = salvage(content.as_py() or b""), []
                 for r in got.records:
                     h = r.headers
-                    size = int(h["payload-length"]) if h.get("payload-length", "").isdigit() else len(r.payload)
                     url = h.get("warc-target-uri")
-                    rows.append((name.as_py(), r.offset, r.page_id, None if url is None else urllib.parse.unquote(url), size, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-type"), r.refers_to, r.payload if with_payload else None, None, None))
+                    rows.append((name.as_py(), r.offset, r.page_id, None if url is None else urllib.parse.unquote(url), _length(r), _digest(r), h.get("warc-type"), r.refers_to, r.payload if with_payload else None, None, None))
                 rows += [(name.as_py(), a, None, None, None, None, None, None, None, z, why) for a, z, why in got.gaps]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -248,7 +285,31 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(work, RECORD)
 
 
+#: Of the damaged copies that page_report reads, the records of pages with this remainder by the modulus are spoilt.
+SPOILT, MODULUS = 3, 97
+
+
 def page_report(pages: DataFrame) -> DataFrame:
-    """Per page, read back from its archive: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    records = read_archives(write_archives(pages), with_payload=False).where("reason is null")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Per page, read back from its archive: page_id, payload_bytes, payload_digest, record_type, refers_to, salvaged.
+
+    Each archive is read twice: as it was written, which must leave no gap, and from a copy in which the records of some pages are
+    spoilt. `salvaged` tells whether the page's record was found in its place in the copy: all but the spoilt ones are to be.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("archive"), b.column("content")):
+                data = content.as_py()
+                whole = salvage(data)
+                if whole.gaps:
+                    raise ValueError(f"{name.as_py()}: {whole.gaps[0]}")
+                ends = [*(r.offset for r in whole.records[1:]), len(data)]
+                copy = damaged(data, [(r.offset, z) for r, z in zip(whole.records, ends) if r.page_id is not None and r.page_id % MODULUS == SPOILT])
+                there = {r.offset for r in salvage(copy).records}
+                rows = [(r.page_id, _length(r), _digest(r), r.headers.get("warc-type"), r.refers_to, r.offset in there) for r in whole.records]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "salvaged"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+    return write_archives(pages).select("archive", "content").mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, salvaged boolean")

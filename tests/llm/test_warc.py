@@ -25,7 +25,7 @@ def test_report(spark):
     for i, _, h in data:
         b, f = (h or "").encode(), first.get(h or "")
         same = sum((x or "") == (h or "") for _, _, x in data) > 1 and f is not None and f != i
-        want.append(f"Row(page_id={i}, payload_bytes={len(b)}, payload_digest='{base64.b32encode(hashlib.sha1(b).digest()).decode()}', record_type='{'revisit' if same else 'response'}', refers_to={f if same else None})")
+        want.append(f"Row(page_id={i}, payload_bytes={len(b)}, payload_digest='{base64.b32encode(hashlib.sha1(b).digest()).decode()}', record_type='{'revisit' if same else 'response'}', refers_to={f if same else None}, salvaged={i is None or i % 97 != 3})")
     assert got == sorted(want)
 
 
@@ -106,3 +106,28 @@ def test_salvage_inside_members(records, level):
     cut = member(b"".join(texts) + bytes(range(256)) * 40)[:-200]
     got = warc.salvage(cut)
     assert [r.page_id for r in got.records] == list(range(6)) and [g[:2] for g in got.gaps] == [(0, len(cut))]
+
+
+def test_the_four_damages_cost_one_record_each(records):
+    data = b"".join(records)
+    starts = [sum(map(len, records[:k])) for k in range(7)]
+    for k in range(6):
+        for turn in range(4):
+            got = warc.salvage(warc.damaged(data, [(starts[k], starts[k + 1])], turn))
+            assert [r.page_id for r in got.records] == [i for i in range(6) if i != k]
+            assert sum(z - a for a, z, _ in got.gaps) == len(records[k])
+
+
+def test_search_is_linear(records):
+    """False starts of members and version lines cost their own bytes only."""
+    import time
+
+    def took(n):
+        junk = (b"\x1f\x8b\x08" + b"\xff" * 5) * n + b"WARC/1.x" * n
+        start = time.perf_counter()
+        got = warc.salvage(records[0] + junk + records[1])
+        assert [r.page_id for r in got.records] == [0, 1]
+        return time.perf_counter() - start
+
+    took(1_000)
+    assert took(80_000) < 16 * max(took(10_000), 0.05)
