@@ -24,7 +24,7 @@ from .common import materialize
 VERSION = b"WARC/1.1"
 LINES = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 #: Bytes of a record's header at most.
-HEADER = 1 << 16
+HEADER = 1 << 22
 MAGIC = b"\x1f\x8b\x08"
 #: An archive is closed once it holds so many bytes.
 ARCHIVE = 4 << 20

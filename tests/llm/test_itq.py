@@ -47,7 +47,7 @@ def make(n=500, d=32, seed=2):
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(itq, "BLOCK", block)
     rows = make()
-    got = [tuple(r) for r in itq.near_vectors(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS rep", "1 AS code", "2 AS g")).collect()]
+    got = [tuple(r) for r in itq.near_vectors(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS rep", "1 AS code0", "2 AS g", "3 AS t")).collect()]
     want = brute(rows)
     total = sum(r[1] for r in want)
     assert len(got) == len(want) and {r[0] for r in got} == {r[0] for r in want}
@@ -59,8 +59,9 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert all(r[1] <= by[r[0]][1] for r in got)
 
 
-def test_recall_with_wide_tables():
-    """The layout for large groups still finds at least nine tenths of pairs just above the threshold."""
+@pytest.mark.parametrize("rows", [1_000, 1_000_000, 10**9])
+def test_recall_of_layouts(rows):
+    """Layouts for small and large groups find at least nine tenths of pairs just above the threshold, with at most 64 rows a vector."""
     rng = np.random.default_rng(0)
     d, n = 64, 1500
     a = rng.normal(size=(n, d))
@@ -71,25 +72,34 @@ def test_recall_with_wide_tables():
     b = 0.94 * a + np.sqrt(1 - 0.94**2) * o
     model = itq.fit_itq(np.concatenate([a, b]))
     x, y = itq.itq_codes(a, model), itq.itq_codes(b, model)
-    for rows in (1_000, 1_000_000):
-        tables, width, probe = itq.table_layout(rows)
-        mask = np.uint64((1 << width) - 1)
-        met = np.zeros(n, bool)
-        for t in range(tables):
-            met |= np.bitwise_count(((x ^ y) >> np.uint64(t * width)) & mask) <= probe
-        assert (met & (np.bitwise_count(x ^ y) <= itq.RADIUS)).mean() >= 0.9
-    assert abs(np.unpackbits(x.view(np.uint8)).mean() - 0.5) < 0.05
-
-
-def test_probing_finds_each_pair_once(spark, monkeypatch):
-    """With flipped bits probed, pairs that meet in several buckets are still counted once."""
-    monkeypatch.setattr(itq, "table_layout", lambda *a: (4, 16, 1))
+    tables = itq.table_layout(rows)
+    met = np.stack([(x[:, own] == y[:, own]).all(axis=1) for own in tables]).any(axis=0)
+    assert len(tables) <= 64 and all(len(set(own)) == tables.shape[1] for own in tables.tolist())
+    assert (met & ((x != y).sum(axis=1) <= itq.RADIUS)).mean() >= 0.9
+    assert abs(x.mean() - 0.5) < 0.05
+
+
+def test_layout_widens():
+    assert [itq.table_layout(10**k).shape[1] for k in (2, 5, 7)] == sorted(itq.table_layout(10**k).shape[1] for k in (2, 5, 7))
+    assert itq.table_layout(10**7).shape[1] > itq.table_layout(10**2).shape[1]
+
+
+def test_overlapping_tables_count_each_pair_once(spark, monkeypatch):
+    """Pairs that meet in many tables are still counted once."""
+    monkeypatch.setattr(itq, "table_layout", lambda *a: itq.choices(10, 40))
     rows = make(200)
     got = {r.vec_id: r.n_links for r in itq.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = {r[0]: r[1] for r in brute(rows)}
     assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_text_labels(spark):
+    """Labels of any type: the same links as with numbers."""
+    rows = make(150)
+    numbers, texts = (itq.near_vectors(spark.createDataFrame(rows, SCHEMA).selectExpr("vec_id", "embedding", f"{x} AS label")).collect() for x in ("label", "concat('kind', label)"))
+    assert sorted(map(str, numbers)) == sorted(map(str, texts)) and sum(r.n_links for r in texts) > 100
+
+
 def test_empty(spark):
     assert itq.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in itq.near_vectors(spark.createDataFrame([(1, None, None)], SCHEMA)).collect()] == [(1, 0, 1, True)]
