@@ -3,8 +3,8 @@
 Pieces go by falling length into the open sequence with the tightest room. The tree's leaves are the
 capacities 0..limit and hold the open sequences of that much room, so finding the tightest one that fits takes
 log2(limit) steps. Equal sequences are kept as one cohort (first id, number), and equal pieces are placed into a
-cohort at once: the plan depends on the histogram of lengths only, its size is bounded by the limit, and
-every piece finds its place from its rank among the pieces of its length.
+cohort at once: the plan depends on the histogram of lengths only, and every piece finds its place from its rank among the
+pieces of its length.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import materialize, salted_rank
+from .common import materialize, runs
 
 LIMIT = 1024
 END = 2
@@ -160,15 +161,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids of every piece of at most ``limit`` tokens.
+#: Starts of a task's pieces among those of a length: broadcast up to so many rows, joined in a shuffle beyond.
+STARTS = 1_000_000
 
-    Only documents longer than ``limit`` are cut; the first piece takes the odd length. A null text is empty and has
-    the one id ``end``.
-    """
+
+def _pieces(docs: DataFrame, tokenizer: str | None, limit: int, end: int) -> DataFrame:
+    """``token_pieces`` with the task that made a piece and the piece's rank among the task's pieces of its length."""
     # the path is looked up by each worker where none is given: installations may differ
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer or default_tokenizer(), as_text=False)
+        encode, task, seen = _encoder(tokenizer or default_tokenizer(), as_text=False), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, _CHUNK):
                 texts = b.column("text").slice(at, _CHUNK)
@@ -181,39 +182,50 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
                 start = np.where(piece > 0, first[row] + (piece - 1) * limit, 0)
                 length = np.where(piece > 0, limit, first[row])
+                order = np.argsort(length, kind="stable")
+                rank, (begin, size) = np.empty(len(length), np.int64), runs(length[order])
+                rank[order] = np.arange(len(length)) - np.repeat(begin, size) + seen[length[order]]
+                seen += np.bincount(length, minlength=limit + 1)
                 stops = np.cumsum([0, *length])  # pieces lie end to end
                 body = memoryview(ids.tobytes())
                 crc = [zlib.crc32(body[4 * x : 4 * y]) for x, y in zip(stops[:-1].tolist(), stops[1:].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids.view(np.int32)))
+                numbers = (pa.array(x, pa.int64()) for x in (start, length, crc))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, _CHUNK).take(pa.array(row)), pa.array(piece.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (start, length, crc)), lists], names=names)
+                    [b.column("doc_id").slice(at, _CHUNK).take(pa.array(row)), pa.array(piece.astype(np.int32)), *numbers, lists, pa.array(np.full(len(row), task, np.int32)), pa.array(rank)], names=names)
 
     fields = [docs.schema["doc_id"], StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32")), StructField("ids", ArrayType(IntegerType()))]
+    fields += [StructField("_task", IntegerType()), StructField("_rank", LongType())]
     names = [f.name for f in fields]
     return docs.select("doc_id", "text").mapInArrow(work, StructType(fields))
 
 
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and ids of every piece of at most ``limit`` tokens.
+
+    Only documents longer than ``limit`` are cut; the first piece takes the odd length. A null text is empty and has
+    the one id ``end``.
+    """
+    return _pieces(docs, tokenizer, limit, end).drop("_task", "_rank")
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with sequence_id and offset, packed best-fit decreasing.
 
     Sequences hold at most ``limit`` tokens without gaps. Every row of ``docs`` is packed, repeated rows and null ids
-    too; other columns are not read. The driver sees the histogram of lengths only, at most ``limit`` rows.
+    too; other columns are not read. Tokens are written once and don't move: a piece's rank among those of its length is its rank in the task
+    that made it and the number of such pieces in earlier tasks. The driver sees the histogram of lengths only, at most ``limit`` rows.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, limit, end), "pieces")
-    plan = best_fit_decreasing({r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, limit)
-    flat = sorted((length, *run) for length, out in plan.items() for run in out)
-    steps = np.array(flat, np.int64).reshape(-1, 6)
-    big = np.int64(1) << 50
-    keys = steps[:, 0] * big + steps[:, 1]
-    tie = F.xxhash64("doc_id", "piece", "ids_crc32")
-    ranked = salted_rank(pieces, ["length"], [tie, F.col("doc_id"), F.col("piece")], tie, "_rank")
-    names = [*pieces.columns, "sequence_id", "offset"]
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            _, first, fit, _, sequence, offset = steps[np.searchsorted(keys, length * big + rank, side="right") - 1].T
-            at = [pa.array(sequence + (rank - first) // fit), pa.array(offset + length * ((rank - first) % fit))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-2]), *at], names=names)
-
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(place, StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    spark = docs.sparkSession
+    pieces = materialize(_pieces(docs, tokenizer, limit, end), "pieces")
+    counts = materialize(pieces.groupBy("length", "_task").agg(F.count("*").alias("n")), "lengths")
+    plan = best_fit_decreasing({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limit)
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("length").alias("_l"), F.col("_task").alias("_t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    runs_of = "_length long, _runs array<struct<first: long, fit: long, sequence: long, offset: long>>"
+    steps = spark.createDataFrame([(length, [(rank, fit, sequence, offset) for rank, fit, _, sequence, offset in out]) for length, out in plan.items()], runs_of)
+    placed = pieces.join(F.broadcast(starts) if counts.count() <= STARTS else starts, (F.col("length") == F.col("_l")) & (F.col("_task") == F.col("_t")))
+    placed = placed.withColumn("_r", F.col("_start") + F.col("_rank")).join(F.broadcast(steps), F.col("length") == F.col("_length"))  # at most ``limit`` rows
+    own = placed.withColumn("_run", F.element_at(F.filter("_runs", lambda x: x["first"] <= F.col("_r")), -1)).withColumn("_k", F.col("_r") - F.col("_run.first"))
+    sequence = F.col("_run.sequence") + F.floor(F.col("_k") / F.col("_run.fit")).cast("long")
+    return own.select(*[c for c in pieces.columns if c[0] != "_"], sequence.alias("sequence_id"), (F.col("_run.offset") + F.col("length") * (F.col("_k") % F.col("_run.fit"))).alias("offset"))
