@@ -40,7 +40,9 @@ PARTS = 2
 #: Weight of the class frequencies in a class's transitions, in tokens.
 KAPPA = 20.0
 #: Pairs that a task sorts at a time.
-_PAIRS = 4_000_000
+_PAIRS = 1_000_000
+#: Texts encoded at a time.
+_ROWS = 512
 
 
 def shape(word: bytes) -> int:
@@ -62,7 +64,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 seen.update((t.as_py() or b"").lower().split())
-                if len(seen) > 300_000:
+                if len(seen) > 200_000:
                     yield out()
                     seen.clear()
         if seen:
@@ -102,7 +104,7 @@ def _ready(name: str, make):
 
 
 def encoded(rows: DataFrame, words) -> DataFrame:
-    """(uid, doc_id, held_out, units, tails) of (doc_id, bytes): the unit of each word, and each rarer word with its number and shape.
+    """(uid, doc_id, held_out, units, tails) of (doc_id, bytes): the unit of each word, and the rarer words with their shapes.
 
     Unit 0 is the end of a text, which is not written; then come the broadcast ``words``, then the shapes.
     """
@@ -110,29 +112,33 @@ def encoded(rows: DataFrame, words) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _ready(name, lambda: {x: k + 1 for k, x in enumerate(words.value)})
-        first = len(at) + 1
-        for b in batches:
-            flat, lengths, tails = [], [], []
-            for t in b.column("bytes"):
-                w = (t.as_py() or b"").lower().split()
-                u = np.fromiter((at.get(x, 0) for x in w), np.int32, len(w))
-                rare = Counter(w[i] for i in np.flatnonzero(u == 0).tolist())
-                if rare:
-                    own = {x: shape(x) for x in rare}
-                    u[u == 0] = [first + own[w[i]] for i in np.flatnonzero(u == 0).tolist()]
-                    tails.append([{"word": x, "n": n, "s": own[x]} for x, n in rare.items()])
-                else:
-                    tails.append([])
-                flat.append(u)
-                lengths.append(len(w))
-            units = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("s", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names[:3]), units, pa.array(tails, kind)], names=names)
+        first, kind = len(at) + 1, pa.struct([("word", pa.binary()), ("s", pa.int32())])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(begin, _ROWS)
+                flat, lengths, rare, shapes, tails = [], [], [], [], []
+                for t in b.column("bytes"):
+                    w = (t.as_py() or b"").lower().split()
+                    u = np.fromiter((at.get(x, 0) for x in w), np.int32, len(w))
+                    places = np.flatnonzero(u == 0)
+                    if len(places):
+                        own = [w[i] for i in places.tolist()]
+                        s = [zlib.crc32(x[-2:]) % SHAPES for x in own]
+                        u[places] = np.array(s, np.int32) + first
+                        rare += own
+                        shapes += s
+                    flat.append(u)
+                    lengths.append(len(w))
+                    tails.append(len(places))
+                units = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate(flat)))
+                words_of = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(shapes, pa.int32())], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *tails]), pa.int32()), words_of)
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names[:3]), units, lists], names=names)
 
     names = ["uid", "doc_id", "held_out", "units", "tails"]
     marked = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "bytes")
     kind = dict(rows.dtypes)["doc_id"]
-    return materialize(marked.mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, units array<int>, tails array<struct<word: binary, n: int, s: int>>"), "encoded")
+    return materialize(marked.mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, units array<int>, tails array<struct<word: binary, s: int>>"), "encoded")
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -420,14 +426,14 @@ def score(docs: DataFrame) -> DataFrame:
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"]
     kind = dict(docs.dtypes)["doc_id"]
     parts = texts.select("uid", "doc_id", "held_out", "units").mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, value double")
-    rare = texts.select("uid", F.explode("tails").alias("t")).select("uid", "t.word", F.col("t.n").alias("k"), "t.s").join(counts, "word", "left")
+    rare = texts.select("uid", F.explode("tails").alias("t")).select("uid", "t.word", "t.s").join(counts, "word", "left")
     by_shape = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("s") + 1)
     c = F.coalesce("n", F.lit(0))
     seen = F.log10(c - by_shape(model.cut)) - F.log10(by_shape(model.size))
     sums = rare.groupBy("uid").agg(
-        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(total + types + 1)))).alias("r_base"),
-        F.sum(F.col("k") * F.when(c > 0, seen).otherwise(by_shape(model.unseen))).alias("r_value"))
+        F.count(F.when(c > 0, 1)).alias("r_known"),
+        F.sum(F.log10((c + 1) / F.lit(float(total + types + 1)))).alias("r_base"),
+        F.sum(F.when(c > 0, seen).otherwise(by_shape(model.unseen))).alias("r_value"))
     none = lambda x: F.coalesce(x, F.lit(0))
     return parts.join(sums, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + none("r_known")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
