@@ -13,7 +13,7 @@ _TIME = {"": 1, "ms": 1, "s": 1000, "min": 60_000}
 
 @dataclass(frozen=True)
 class Config:
-    """Row cap of text results, timeout of statements, isolation of new sessions, and memory per task for planning partitions.
+    """How many statements run at once (0: any) and how long others wait, row cap of text results, timeout of statements, isolation of new sessions, and memory per task for planning partitions.
 
     ``work_mem`` becomes the advisory size of a shuffle partition; spilling itself is Spark's.
     """
@@ -22,6 +22,8 @@ class Config:
     statement_timeout_ms: int = 0
     max_result_rows: int | None = None
     isolation_level: str = "SNAPSHOT"
+    max_concurrent_statements: int = 0
+    admission_timeout_ms: int = 10_000
 
     @staticmethod
     def parse(text: str) -> Config:
@@ -40,7 +42,7 @@ class Config:
                     raise EngineError(f"line {n}: unknown isolation level {value}")
                 continue
             m = re.fullmatch(r"(\d+)\s*([A-Za-z]*)", value)
-            units = _SIZE if key == "work_mem" else _TIME if key == "statement_timeout_ms" else {"": 1}
+            units = _SIZE if key == "work_mem" else _TIME if key.endswith("_timeout_ms") else {"": 1}
             if not m or m[2].lower() not in units:
                 raise EngineError(f"line {n}: '{value}' is not a value of {key}")
             out[key] = int(m[1]) * units[m[2].lower()]

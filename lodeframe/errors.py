@@ -28,3 +28,7 @@ class SerializationError(EngineError):
 
 class StatementTimeout(EngineError):
     pass
+
+
+class AdmissionError(EngineError):
+    """No place to run in came free in time."""

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Engine, statistics
+from ..sources.files import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or tempfile.mkdtemp(prefix='lodeframe-')).rstrip('/')}/lodeframe-warehouse-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; it goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/lodeframe-warehouse-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
 
 
 def load(engine: Engine, name: str, df: DataFrame) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, Row
 
@@ -42,3 +42,22 @@ def lines(df: DataFrame, max_rows: int | None = None) -> Iterator[str]:
         if max_rows is not None and k >= max_rows:
             raise ValueError(f"result has more than {max_rows} rows")
         yield "|".join(map(cell, row))
+
+
+#: Rows that the column widths of a table are taken from; wider cells later stick out.
+SAMPLE = 200
+
+
+def table_lines(df: DataFrame, max_rows: int | None = None) -> Iterator[str]:
+    """An aligned table: header, rule and padded rows, numbers to the right. Only the first SAMPLE rows are held."""
+    right = [t in ("tinyint", "smallint", "int", "bigint", "float", "double") for _, t in df.dtypes]
+    rows = (list(map(cell, r)) for r in (df if max_rows is None else df.limit(max_rows + 1)).toLocalIterator())
+    first = list(islice(rows, SAMPLE))
+    width = [max(map(len, [c, *(r[k] for r in first)])) for k, c in enumerate(df.columns)]
+    line = lambda r: " | ".join(x.rjust(w) if n else x.ljust(w) for x, w, n in zip(r, width, right)).rstrip()
+    yield line(df.columns)
+    yield "-+-".join("-" * w for w in width)
+    for k, r in enumerate(chain(first, rows)):
+        if max_rows is not None and k >= max_rows:
+            raise ValueError(f"result has more than {max_rows} rows")
+        yield line(r)

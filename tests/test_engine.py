@@ -121,19 +121,19 @@ def test_constraints(engine):
 
 def test_transactions(engine):
     a, b = engine.session(), engine.session()
-    a.script("CREATE TABLE doctors (id INT PRIMARY KEY, on_call INT); CREATE TABLE log (x INT); INSERT INTO doctors VALUES (1, 1), (2, 1)")
+    a.script("CREATE TABLE stock (id INT PRIMARY KEY, crates INT); CREATE TABLE log (x INT); INSERT INTO stock VALUES (1, 1), (2, 1)")
     a.sql("BEGIN")
-    a.sql("UPDATE doctors SET on_call = 0 WHERE id = 1")
-    assert got(engine, "SELECT SUM(on_call) FROM doctors") == [(2,)]
-    assert a.sql("SELECT SUM(on_call) FROM doctors").first()[0] == 1
-    b.sql("UPDATE doctors SET on_call = 5 WHERE id = 2")
+    a.sql("UPDATE stock SET crates = 0 WHERE id = 1")
+    assert got(engine, "SELECT SUM(crates) FROM stock") == [(2,)]
+    assert a.sql("SELECT SUM(crates) FROM stock").first()[0] == 1
+    b.sql("UPDATE stock SET crates = 5 WHERE id = 2")
     with pytest.raises(SerializationError):
         a.sql("COMMIT")
     with pytest.raises(EngineError):
         a.sql("COMMIT")
-    # write skew: both read doctors, each writes another table
-    a.script("SET ISOLATION_LEVEL = SERIALIZABLE; BEGIN; SELECT * FROM doctors; INSERT INTO log VALUES (1)")
-    b.sql("DELETE FROM doctors WHERE id = 1")
+    # write skew: both read stock, each writes another table
+    a.script("SET ISOLATION_LEVEL = SERIALIZABLE; BEGIN; SELECT * FROM stock; INSERT INTO log VALUES (1)")
+    b.sql("DELETE FROM stock WHERE id = 1")
     with pytest.raises(SerializationError):
         a.sql("COMMIT")
     a.script("BEGIN; INSERT INTO log VALUES (7)")
