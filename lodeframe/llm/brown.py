@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, runs, whole_groups
+from .common import materialize, runs, spread, whole_groups
 
 CLASSES = 64
 SHAPES = 256
@@ -392,7 +392,7 @@ def score(docs: DataFrame) -> DataFrame:
     documents of their own. Without any training text all base probabilities are 1/1. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
+    rows = spread(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes")))
     train = rows.where(in_training(F.col("doc_id")))
     counts = materialize(word_counts(train), "counts")
     words, n_head, least = frequent_words(counts)

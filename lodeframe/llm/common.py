@@ -78,6 +78,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to every core where a scan would leave most of them idle: tables of fewer row groups than cores."""
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    # an adaptive plan has its own partitions, which are known only once it runs
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def shielded(docs: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``docs`` with all but the ``needed`` columns under names that clash with nothing, and what gives back the old columns."""
     needed = [c for c in needed if c in docs.columns]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import materialize, runs
+from .common import materialize, runs, spread
 
 LIMIT = 1024
 END = 2
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end:
     that made it and the number of such pieces in earlier tasks. The driver sees the histogram of lengths only, at most ``limit`` rows.
     """
     spark = docs.sparkSession
-    pieces = materialize(_pieces(docs, tokenizer, limit, end), "pieces")
+    pieces = materialize(_pieces(spread(docs.select("doc_id", "text")), tokenizer, limit, end), "pieces")
     counts = materialize(pieces.groupBy("length", "_task").agg(F.count("*").alias("n")), "lengths")
     plan = best_fit_decreasing({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, limit)
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_rank, shielded
+from .common import materialize, salted_rank, shielded, spread
 
 TITLES = {
     "f": "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Signora|Госпожа|Κυρία", "m": "Mr|Herr|Señor|Monsieur|Signor|Господин|Κύριος",
@@ -293,7 +293,7 @@ def surrogates(docs: DataFrame, key: str = KEY, entities_as: str | None = None)
     """
     docs, restored = shielded(docs, ["text"])
     cols, text = docs.columns, "text"
-    marked = docs.withColumn("_f", found(F.col(text))).withColumns({text: F.when(F.col("_f").isNull(), F.col(text)), "_plain": F.col("_f.plain"), "_e": F.coalesce("_f.e", F.array().cast(ENTITY))}).drop("_f")
+    marked = spread(docs).withColumn("_f", found(F.col(text))).withColumns({text: F.when(F.col("_f").isNull(), F.col(text)), "_plain": F.col("_f.plain"), "_e": F.coalesce("_f.e", F.array().cast(ENTITY))}).drop("_f")
     marked = materialize(marked, "marked")
     keyed = marked.where(F.size("_e") > 0).withColumn("_key", F.sha2(F.concat_ws("\x1f", F.transform("_e", lambda e: F.concat_ws(":", e["kind"], e["canon"]))).cast("binary"), 256))
     slots = keyed.select("_key", F.posexplode(F.flatten(F.transform("_e", parts))).alias("_at", "x")).select("_key", "_at", "x.part", "x.value").distinct()

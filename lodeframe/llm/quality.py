@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shielded, words_of
+from .common import materialize, shielded, spread, words_of
 
 #: Measures judged from above: the count, its scale, and how many of it say nothing yet in a document of any length.
 UPPER = {"symbol_rate": ("n_symbols", 1000, 3), "dup_line_rate": ("n_dup_lines", 100_000, 3), "repeat_rate": ("n_repeat_words", 1000, 30), "word_length": ("word_chars", 1000, 0)}
@@ -160,7 +160,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
     repeated rows each get their row. Other columns are not read.
     """
     docs = docs.select("doc_id", "text", "lang", "source")
-    measured = materialize(with_measures(docs).drop("text"), "measures")
+    measured = materialize(with_measures(spread(docs)).drop("text"), "measures")
     out = judged(measured)
     return out.select("doc_id", "_m.*", base_failed("_m").alias("base_failed"), F.col("_kept").alias("kept"))
 
@@ -168,4 +168,4 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     docs, restored = shielded(docs, ["doc_id", "text", "lang", "source"])
-    return restored(judged(materialize(with_measures(docs), "measured")).where("_kept"))
+    return restored(judged(materialize(with_measures(spread(docs)), "measured")).where("_kept"))

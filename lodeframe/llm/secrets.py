@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shielded, words_of
+from .common import materialize, shielded, spread, words_of
 
 #: Kinds in listed order: pattern, group that holds the value, least length of the value. Java syntax; in (?i) only ASCII folds.
 PATTERNS = {
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, keep: list[str], owner: str = "source", repo: str | No
     repositories; without it copies of a text are one. A document's verdicts are looked up by a hash of its candidate values, so copies share
     one lookup row and no document moves unless it has candidates.
     """
-    marked = docs.withColumn(name, candidates(F.col(text)))
+    marked = spread(docs).withColumn(name, candidates(F.col(text)))
     own = F.col(repo) if repo else F.when(F.size(name) > 0, repository(F.col(text)))
     marked = materialize(marked.select(*keep, name, F.col(owner).alias("_owner"), own.alias("_repo")), "scanned")
     hashes = F.array_distinct(F.transform(name, lambda c: value_hash(c["value"])))

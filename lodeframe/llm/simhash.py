@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, min_labels, shielded, split_hot, whole_groups
+from .common import materialize, min_labels, shielded, split_hot, spread, whole_groups
 from .components import connected_components
 
 SHINGLE = 4
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", d
     before any comparison, so copies cost one row. A null id takes no part in linking: its component_id is
     null. Repeated rows each get their row. Other columns of ``docs`` are not read.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     fps = materialize(add_fingerprints(docs, ["doc_id"]), "fingerprints")
     return fps.select("doc_id", "fp").join(components_of(fps, radius), ["fp"], "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -173,7 +173,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     docs, restored = shielded(docs, ["doc_id", "text"])
     cols = docs.columns
-    fps = materialize(add_fingerprints(docs, ["doc_id"]), "fingerprints")
+    fps = materialize(add_fingerprints(spread(docs.select("doc_id", "text")), ["doc_id"]), "fingerprints")
     roots = components_of(fps, radius).select(F.col("component_id").alias("__root")).distinct()
     kept = docs.join(roots, F.col("doc_id") == F.col("__root"), "left_semi")
     again = materialize(fps.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "repeated")
